@@ -1,0 +1 @@
+"""Retrieval and financial-text analytics as PySpark DataFrame operators."""
