@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .names import as_column
 
@@ -45,7 +46,7 @@ COMPARISONS = (
 NEGATION = r"\bnot\b|\bno\b|\bnever\b|\bwithout\b|\bexclud(?:e|ing|es)\b|\bdeclin(?:e|ing|ed)\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition; needed only where texts hold combining marks."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

@@ -52,9 +52,9 @@ def overlap_rerank(candidates: DataFrame, terms: DataFrame, tokens: DataFrame, t
 
 def explanation(lexical: Column, semantic: Column, fused: Column, rank: Column) -> Column:
     """The parts of a score that are above 0, the final score and the rank, as text."""
-    part = lambda name, c: F.when(c > 0, F.format_string(f"{name}=%.3f", c))
+    part = lambda name, c: F.when(c > 0, F.format_string(f"{name}=%.3f", F.round(c, 3)))
     parts = F.concat_ws(", ", part("BM25", lexical), part("dense", semantic), part("fused", fused))
-    return F.concat_ws(" | ", F.when(parts != "", F.concat(F.lit("Scores: "), parts)), F.format_string("Final=%.4f (rank #%d)", fused, rank))
+    return F.concat_ws(" | ", F.when(parts != "", F.concat(F.lit("Scores: "), parts)), F.format_string("Final=%.4f (rank #%d)", F.round(fused, 4), rank))
 
 
 def final_hits(fused: DataFrame, k: int) -> DataFrame:
