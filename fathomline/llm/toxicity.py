@@ -138,15 +138,22 @@ def fit_label_model(n: float, ones: np.ndarray, pairs: np.ndarray, prior: float,
     dependent, scale = np.zeros((size, size), bool), math.sqrt(prior * (1 - prior))
     # A voter can't vote for more than all toxic texts: v_i <= mean_i / prior * scale.
     top = np.minimum(1.0, mean / prior) * scale
+    # Three voters tell of one: v_i^2 = cov_ij cov_ik / cov_jk. The median over many bears dependent pairs.
+    sure = off & (cov > 4 * np.outer(sd, sd) / math.sqrt(max(n, 1)))
     v = 0.5 * top
+    for i in range(size):
+        j, k = (x.ravel() for x in np.meshgrid(*[np.flatnonzero(sure[i])] * 2, indexing="ij"))
+        good = (j < k) & sure[j, k]
+        if good.any():
+            v[i] = np.sqrt(np.median(cov[i, j[good]] * cov[i, k[good]] / cov[j[good], k[good]]))
+    v = np.clip(v, 0, top)
     for _ in range(4):
+        dependent = off & ((cov - np.outer(v, v)) / np.outer(sd, sd) > 0.2)
         use = off & ~dependent
         for _ in range(rounds):
             rest = use * v[None, :]
             new = (rest * np.where(use, cov, 0)).sum(1) / np.maximum((rest**2).sum(1), 1e-15)
             v = 0.5 * v + 0.5 * np.clip(new, 0, top)
-        excess = (cov - np.outer(v, v)) / np.outer(sd, sd)
-        dependent = off & (excess > 0.2)
     step = v / scale
     false = np.clip(mean - prior * step, tiny, 0.5)
     hit = np.clip(false + step, false, 1 - tiny)

@@ -92,7 +92,7 @@ class Writer:
         kind = zstandard.DICT_TYPE_AUTO if words[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
         self.pack = zstandard.ZstdCompressor(level=self.rules.level, dict_data=zstandard.ZstdCompressionDict(words, dict_type=kind)).compress
         self.path = f"{self.folder}/{self.name}-{self.made:04d}.warc.zst"
-        self.out = self.files.open_output_stream(self.path)
+        self.out = self.files.open_output_stream(self.path, compression=None)
         self.out.write(SKIPPABLE.to_bytes(4, "little") + len(words).to_bytes(4, "little") + words)
         for r in self.held:
             self.out.write(self.pack(r))
@@ -207,7 +207,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 files, _ = pa.fs.FileSystem.from_uri(folder)
                 out = []
-                with files.open_input_stream(path) as source:
+                with files.open_input_stream(path, compression=None) as source:
                     for data in frames(source):
                         f, payload = parse(data)
                         new = f["warc-type"] == "response"
