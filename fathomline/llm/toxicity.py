@@ -16,13 +16,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .scratch import only, settle, text_batches
+from .scratch import settle, text_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,15 +49,20 @@ PATTERNS = {
 class Rules:
     """``sample``: labelled rows, and as many others, that are learnt from at most. ``terms``: telling
     terms at most, dealt to ``groups`` voters by their stems of ``stem`` letters. ``prior`` is the
-    share of toxic texts where no label says more."""
+    share of toxic texts where no label says more. A term is telling if, with 95 percent confidence,
+    over ``least_share`` of the texts that hold it are toxic. First letters whose share is, as surely,
+    ``hint_lift`` times the prior are hints, dealt to ``hint_groups`` voters: one word of a kind says
+    nothing, several do. Labels are right ``label_right`` of the time."""
 
     sample: int = 20_000
     terms: int = 400
     groups: int = 10
+    hint_groups: int = 5
     stem: int = 4
     prior: float = 0.08
-    least_support: int = 4
     least_share: float = 0.6
+    hint_lift: float = 2.8
+    label_right: float = 0.95
 
 
 RULES = Rules()
@@ -74,23 +80,28 @@ class Voters:
     names: list[str]
     table: dict[str, tuple[int, ...]]
     stem: int
+    hints: frozenset[int] = frozenset()
     patterns: list[re.Pattern] = field(default_factory=lambda: [re.compile(p) for p in PATTERNS.values()])
 
     @classmethod
-    def of(cls, learnt: list[str], rules: Rules) -> Voters:
+    def of(cls, learnt: list[str], rules: Rules, hints: list[str] = ()) -> Voters:
         table: dict[str, list[int]] = {}
         for k, words in enumerate(LEXICONS.values()):
             for w in words.split():
                 table.setdefault(w, []).append(k)
-        stems: dict[str, int] = {}
-        for term in learnt:
-            group = stems.setdefault(term[: rules.stem], len(stems) % rules.groups)
-            table.setdefault(term, []).append(len(LEXICONS) + group)
-        names = [*LEXICONS, *(f"learnt_{g}" for g in range(rules.groups)), *PATTERNS]
-        return cls(names, {t: tuple(dict.fromkeys(v)) for t, v in table.items()}, rules.stem)
+        first = len(LEXICONS)
+        for terms, groups in ((learnt, rules.groups), (hints, rules.hint_groups)):
+            stems: dict[str, int] = {}
+            for term in terms:
+                group = stems.setdefault(term[: rules.stem], len(stems) % groups)
+                table.setdefault(term, []).append(first + group)
+            first += groups
+        names = [*LEXICONS, *(f"learnt_{g}" for g in range(rules.groups)), *(f"hints_{g}" for g in range(rules.hint_groups)), *PATTERNS]
+        return cls(names, {t: tuple(dict.fromkeys(v)) for t, v in table.items()}, rules.stem, frozenset(range(first - rules.hint_groups, first)))
 
     def counts(self, text: str) -> np.ndarray:
-        """How often each voter's terms or pattern occur; a word counts once for a voter."""
+        """How often each voter's terms or pattern occur; a word counts once for a voter. For hints: how
+        many different words beyond the first."""
         text, out, stem = text.lower(), np.zeros(len(self.names)), self.stem
         find = self.table.get
         for w, n in Counter(WORD.findall(text)).items():
@@ -99,7 +110,9 @@ class Voters:
                 if len(w) >= m:
                     hit += find(w[:m] + "-", ())
             for k in set(hit):
-                out[k] += n
+                out[k] += 1 if k in self.hints else n
+        for k in self.hints:
+            out[k] = max(0, out[k] - 1)
         first = len(self.names) - len(self.patterns)
         for k, p in enumerate(self.patterns):
             out[first + k] = sum(1 for _ in p.finditer(text))
@@ -123,12 +136,14 @@ class LabelModel:
         return math.log(self.prior / (1 - self.prior)) + float((self.weight * no).sum()), self.weight * (yes - no)
 
 
-def fit_label_model(n: float, ones: np.ndarray, pairs: np.ndarray, prior: float, rounds: int = 50) -> LabelModel:
+def fit_label_model(n: float, ones: np.ndarray, pairs: np.ndarray, prior: float, told: np.ndarray | None = None, label_right: float = RULES.label_right, rounds: int = 50) -> LabelModel:
     """From the number of texts, votes of each voter and of each pair of voters together.
 
     If votes are independent given the label, the covariances off the diagonal are products v_i v_j
     with v_i = (hit_i - false_i) sqrt(prior (1 - prior)): accuracies follow from agreement alone. Pairs
     whose covariance is far above that product are dependent; they leave the fit, and share weight.
+    Labels are one more voter, with a known share of right votes, that is silent on most texts:
+    ``told`` has each voter's covariance with it where it votes, and weighs as much as the others.
     """
     size, tiny = len(ones), 0.5 / max(n, 1)
     mean = ones / max(n, 1)
@@ -152,8 +167,11 @@ def fit_label_model(n: float, ones: np.ndarray, pairs: np.ndarray, prior: float,
         use = off & ~dependent
         for _ in range(rounds):
             rest = use * v[None, :]
-            new = (rest * np.where(use, cov, 0)).sum(1) / np.maximum((rest**2).sum(1), 1e-15)
-            v = 0.5 * v + 0.5 * np.clip(new, 0, top)
+            upper, lower = (rest * np.where(use, cov, 0)).sum(1), (rest**2).sum(1)
+            if told is not None:
+                known = (2 * label_right - 1) * scale
+                upper, lower = upper + size * known * told, lower + size * known**2
+            v = 0.5 * v + 0.5 * np.clip(upper / np.maximum(lower, 1e-15), 0, top)
     step = v / scale
     false = np.clip(mean - prior * step, tiny, 0.5)
     hit = np.clip(false + step, false, 1 - tiny)
@@ -161,10 +179,36 @@ def fit_label_model(n: float, ones: np.ndarray, pairs: np.ndarray, prior: float,
     return LabelModel(prior, hit, false, 1 / (1 + share), dependent)
 
 
-def _learnt_terms(docs: DataFrame, sample: DataFrame, rules: Rules) -> list[str]:
-    """The terms that tell toxic texts best in the labelled sample; at most ``terms`` come to the driver."""
+def _minhashes(words: list[str]) -> list[int]:
+    """Four minima of hashes of the text's runs of three words."""
+    runs = {" ".join(words[i : i + 3]).encode("utf-8", "replace") for i in range(max(1, len(words) - 2))}
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64, len(runs))
+    return [int((hashes * np.uint64(m)).min().view(np.int64)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
+
+def _distinct_sample(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """Texts of the sample (``text``, ``label``), one of each group of near copies: copies of one text say no more."""
     rows = docs.join(F.broadcast(sample), docs["id"] == sample["key"]).select("text", "label")
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            marks = [_minhashes(WORD.findall(t.lower())) for t in texts]
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array(texts), b.column(1), *(pa.array(m, pa.int64()) for m in zip(*marks, strict=True))], ["text", "label", "m0", "m1", "m2", "m3"])
+
+    held = settle(rows.mapInArrow(each, "text string, label int, m0 long, m1 long, m2 long, m3 long"), "sample")
+    marks = held.select("m0", "m1", "m2", "m3", "label").dropDuplicates(["m0", "m1", "m2", "m3"])
+    for k in range(4):
+        marks = marks.dropDuplicates([f"m{k}"])
+    kept = settle(marks.select("m0", "m1", "m2", "m3"), "kept")
+    return held.join(F.broadcast(kept), ["m0", "m1", "m2", "m3"]).dropDuplicates(["m0", "m1", "m2", "m3"]).select("text", "label")  # as bounded as the sample
+
+
+def _learnt_terms(docs: DataFrame, sample: DataFrame, prior: float, rules: Rules) -> tuple[list[str], list[str]]:
+    """The terms that tell toxic texts best in the labelled sample, and hints; ``terms`` of each at most come to the driver."""
+    rows = _distinct_sample(docs, sample)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums: tuple[Counter, Counter] = (Counter(), Counter())
@@ -175,9 +219,37 @@ def _learnt_terms(docs: DataFrame, sample: DataFrame, rules: Rules) -> list[str]
                 yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([sums[1][t] for t in terms], pa.int64()), pa.array([sums[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
     sums = rows.mapInArrow(each, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    good = sums.where((F.col("toxic") >= rules.least_support) & (F.col("toxic") >= rules.least_share * (F.col("toxic") + F.col("clean"))))
-    best = good.orderBy(F.desc(F.col("toxic") - 3 * F.col("clean")), "term").limit(rules.terms)
-    return [r["term"] for r in best.collect()]
+    # Wilson's lower bound of the share of toxic texts among those with the term.
+    n, z = F.col("toxic") + F.col("clean"), 1.96
+    p = F.col("toxic") / n
+    bound = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    rated = settle(sums.withColumn("bound", bound).where(F.col("bound") >= min(rules.least_share, rules.hint_lift * prior)), "terms")
+    order = [F.desc(F.col("toxic") - 3 * F.col("clean")), F.asc("term")]
+    taken = lambda df: {r["term"]: (r["toxic"], r["clean"]) for r in df.orderBy(*order).limit(rules.terms).collect()}
+    sharp = taken(rated.where(F.col("bound") >= rules.least_share))
+    dull = taken(rated.where((F.col("bound") < rules.least_share) & F.col("term").endswith("-")))
+    hints = [t for t in _specific(sharp | dull) if t in dull]
+    # of first letters that nest, the shorter say all
+    return _specific(sharp), [t for t in hints if not any(t != u and t.startswith(u[:-1]) for u in hints)]
+
+
+def _specific(counts: dict[str, tuple[int, int]]) -> list[str]:
+    """The terms but for first letters most of whose toxic texts a longer term covers, with fewer clean ones."""
+    out = []
+    for term, (toxic, clean) in counts.items():
+        start = term.removesuffix("-")
+        longer = (c for t, c in counts.items() if t != term and term != start and t.startswith(start))
+        if not any(c[0] >= 0.8 * toxic and c[1] < clean for c in longer):
+            out.append(term)
+    return out
+
+
+def _told(counts: DataFrame, sample: DataFrame, size: int) -> np.ndarray:
+    """Each voter's covariance with the labels, over the sample."""
+    rows = counts.join(F.broadcast(sample), counts["id"] == sample["key"])
+    votes = [(F.element_at("counts", k + 1) > 0).cast("double") for k in range(size)]
+    r = rows.agg(*[F.covar_pop(v, F.col("label").cast("double")).alias(f"v{k}") for k, v in enumerate(votes)]).first()
+    return np.array([r[f"v{k}"] or 0.0 for k in range(size)])
 
 
 def _count_table(docs: DataFrame, voters: Voters) -> DataFrame:
@@ -229,15 +301,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame | None = None, *, id_col:
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known, learnt, prior = None, [], rules.prior
+    known, learnt, hints, prior = None, [], [], rules.prior
     if labels is not None:
         known = labelled_sample(labels, label_id_col, label_col, rules.sample)
         told = known.agg(F.count("*").alias("n"), F.sum("label").alias("k")).first()
         prior = ((told["k"] or 0) + 10 * rules.prior) / (told["n"] + 10)
-        learnt = _learnt_terms(rows, known, rules)
-    voters = Voters.of(learnt, rules)
+        learnt, hints = _learnt_terms(rows, known, prior, rules)
+    voters = Voters.of(learnt, rules, hints)
     counts = settle(_count_table(rows, voters), "votes")
-    model = fit_label_model(*_votes_summed(counts, len(voters.names)), prior)
+    told = _told(counts, known, len(voters.names)) if known is not None else None
+    model = fit_label_model(*_votes_summed(counts, len(voters.names)), prior, told, rules.label_right)
 
     at = [F.element_at("counts", k + 1) for k in range(len(voters.names))]
     votes = [(c > 0).cast("double") for c in at]
@@ -251,8 +324,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame | None = None, *, id_col:
     share = min(1.0, rules.sample / total)
     train = counts.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000)) < round(share * 1_000_000)).select(odds.alias("odds"), *[f.alias(f"f{k}") for k, f in enumerate(features)])
     if known is not None:
-        # A label is one more voter: right nine times in ten, by itself.
-        seen = counts.join(F.broadcast(known), counts["id"] == known["key"]).select((odds + F.when(F.col("label") == 1, math.log(9.0 / prior * (1 - prior) / 1.0)).otherwise(-math.log(9.0))).alias("odds"), *[f.alias(f"f{k}") for k, f in enumerate(features)])
+        # Where the label votes too, its log odds add to those of the others.
+        sure = math.log(rules.label_right / (1 - rules.label_right))
+        seen = counts.join(F.broadcast(known), counts["id"] == known["key"]).select((odds + F.when(F.col("label") == 1, sure).otherwise(-sure)).alias("odds"), *[f.alias(f"f{k}") for k, f in enumerate(features)])
         train = train.unionByName(seen)
     train = settle(train.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.least("odds", F.lit(30.0)), F.lit(-30.0))))), "training")
     vector = array_to_vector(F.array(*[F.col(f"f{k}") for k in range(len(features))])).alias("x")
