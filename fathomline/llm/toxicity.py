@@ -36,13 +36,14 @@ LEXICONS = {
     "insults_de": "idiot trottel dummkopf arschloch scheiße scheisse hurensohn wichser schlampe abschaum vollidiot depp missgeburt versager",
     "insults_es": "idiota imbécil estúpido estúpida cabrón puta puto mierda gilipollas pendejo basura escoria inútil patético asqueroso",
 }
-#: Patterns, in lower case.
+#: Patterns, in lower case. A text without any of a pattern's CUES can't match it.
 PATTERNS = {
     "threat": r"\b(?:i|we)(?: will|'ll| am going to| are going to) (?:kill|hurt|destroy|beat|find) (?:you|them|him|her)\b|\bkill yourself\b|\bgo die\b|\bdrop dead\b",
     "second_person": r"\byou(?:'re| are|r)? (?:an? |such an? |all |so |fucking |nothing but )*(?:idiot|moron|stupid|loser|clown|scum|trash|worthless|pathetic|disgusting|dumb|bitch|bastard)",
     "dismissal": r"\bshut (?:the \w+ )?up\b|\bnobody (?:likes|wants|asked) you\b|\bgo to hell\b|\bscrew you\b|\bget lost\b",
     "hatred": r"\b(?:i|we) (?:hate|despise|loathe) (?:you|them|all|those)\b|\bthey should all (?:die|be)\b",
 }
+CUES = {"threat": "kill hurt destroy beat find die dead", "second_person": "you", "dismissal": "shut nobody hell screw lost", "hatred": "hate despise loathe should"}
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,10 @@ class Voters:
     table: dict[str, tuple[int, ...]]
     stem: int
     hints: frozenset[int] = frozenset()
-    patterns: list[re.Pattern] = field(default_factory=lambda: [re.compile(p) for p in PATTERNS.values()])
+    patterns: list[tuple[re.Pattern, list[str]]] = field(default_factory=lambda: [(re.compile(p), CUES[n].split()) for n, p in PATTERNS.items()])
+
+    def __post_init__(self) -> None:
+        self.starts = frozenset(t[: self.stem] for t in self.table)
 
     @classmethod
     def of(cls, learnt: list[str], rules: Rules, hints: list[str] = ()) -> Voters:
@@ -103,8 +107,8 @@ class Voters:
         """How often each voter's terms or pattern occur; a word counts once for a voter. For hints: how
         many different words beyond the first."""
         text, out, stem = text.lower(), np.zeros(len(self.names)), self.stem
-        find = self.table.get
-        for w, n in Counter(WORD.findall(text)).items():
+        find, starts = self.table.get, self.starts
+        for w, n in [x for x in Counter(WORD.findall(text)).items() if x[0][:stem] in starts]:
             hit = find(w, ())
             for m in (stem, stem + 1, stem + 2):
                 if len(w) >= m:
@@ -114,8 +118,9 @@ class Voters:
         for k in self.hints:
             out[k] = max(0, out[k] - 1)
         first = len(self.names) - len(self.patterns)
-        for k, p in enumerate(self.patterns):
-            out[first + k] = sum(1 for _ in p.finditer(text))
+        for k, (p, cues) in enumerate(self.patterns):
+            if any(c in text for c in cues):
+                out[first + k] = sum(1 for _ in p.finditer(text))
         return out
 
 
