@@ -110,7 +110,7 @@ def mix(
     block_chars: int = 100_000,
     power: float = 0.5,
     own_sources: int = OWN_SOURCES,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 4_000,
 ) -> DataFrame:
     """One row for each input row: ``id``, ``source``, ``block``, ``slot``, ``release``, ``deadline``, ``place``.
 
