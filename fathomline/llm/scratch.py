@@ -1,40 +1,24 @@
-"""Shared scratch tables and batch sizes for the operators of this subpackage."""
+"""Batch sizes and id filters that the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch of whole texts; bounds what a Python worker holds at once.
-TEXT_BATCH_ROWS = 256
+from ..sources.scratch import settle, shared_root
 
+__all__ = ["BROADCAST_IDS", "TEXT_BATCH_ROWS", "new_folder", "only", "settle", "text_batches"]
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a new temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="fathomline-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+#: Rows in one Arrow batch of whole texts; bounds what a Python worker holds at once.
+TEXT_BATCH_ROWS = 256
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/fathomline/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back.
-
-    Cuts lineage, so that a lost executor costs the reading tasks and nothing above them.
-    """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     """Keep Arrow batches of whole texts small; the setting is read when a plan starts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

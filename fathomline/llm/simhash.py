@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from ..operators.graph import connected_components
 from .scratch import only, settle, text_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")

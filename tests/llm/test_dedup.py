@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fathomline.llm import embedding_dedup, simhash, substring_dedup
-from fathomline.llm.components import connected_components
+from fathomline.operators.graph import connected_components
 
 SCHEMA = "doc_id long, text string, source string, fingerprint string, id long"
 
