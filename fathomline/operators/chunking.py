@@ -68,3 +68,55 @@ def speakers(text: Column) -> Column:
 def next_start(df: DataFrame, by: str, start: str, last: Column) -> DataFrame:
     """``end``: the next row's start in a group; the last row's is ``last``."""
     return df.withColumn("end", F.coalesce(F.lead(start).over(Window.partitionBy(by).orderBy(start)), last))
+
+
+#: First headings of the parts of an annual report, and of a call.
+ANNUAL_PARTS = (
+    ("item_1", r"(?:ITEM\s*1[.\s]|Part\s+I\b)[^\n]*?Business"),
+    ("item_1a", r"ITEM\s*1A[.\s][^\n]*?Risk\s*Factors"),
+    ("item_2", r"ITEM\s*2[.\s][^\n]*?Properties"),
+    ("item_3", r"ITEM\s*3[.\s][^\n]*?Legal\s*Proceedings"),
+    ("item_5", r"ITEM\s*5[.\s][^\n]*?Market[^\n]*?(?:Registrant|Equity)"),
+    ("item_6", r"ITEM\s*6[.\s][^\n]*?(?:Selected|Reserved)"),
+    ("item_7", r"ITEM\s*7[.\s][^\n]*?(?:MD&?A|Management[^\n]*?Discussion)"),
+    ("item_7a", r"ITEM\s*7A[.\s][^\n]*?(?:Quantitative|Market\s*Risk)"),
+    ("item_8", r"ITEM\s*8[.\s][^\n]*?Financial\s*Statements"),
+    ("item_9", r"ITEM\s*9[.\s][^\n]*?(?:Changes|Disagreements)"),
+)
+CALL_PARTS = (
+    ("prepared_remarks", r"(?:prepared\s+remarks|opening\s+remarks|presentation)"),
+    ("ceo_remarks", r"(?:CEO|Chief\s+Executive\s+Officer)[^\n]*?(?:remarks|comments)"),
+    ("cfo_remarks", r"(?:CFO|Chief\s+Financial\s+Officer)[^\n]*?(?:remarks|comments)"),
+    ("qa_session", r"(?:Q(?:uestion)?[\s&]+A(?:nswer)?|question.and.answer)\s*(?:session)?"),
+)
+
+
+def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", type_col: str = "doc_type") -> DataFrame:
+    """``doc_id``, ``doc_type``, ``section``, ``start``, ``end`` of cleaned texts, by the document's type.
+
+    Filings without a type get one from their text. Annual reports and calls have their parts; all
+    other documents, and those without a part, are one section ``full``.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), T.clean_text(text_col).alias("text"), F.col(type_col).alias("doc_type"))
+    rows = rows.withColumn("doc_type", F.coalesce("doc_type", filing_type(F.col("text"))))
+    found = None
+    for kind, parts in (("10-K", ANNUAL_PARTS), ("earnings_transcript", CALL_PARTS)):
+        some = sections(rows.where(F.col("doc_type") == kind), parts)
+        found = some if found is None else found.unionByName(some)
+    whole = rows.select("doc_id", F.lit("full").alias("section"), F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end")).join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return found.unionByName(whole).join(rows.select("doc_id", "doc_type"), "doc_id")
+
+
+def structural_chunks(docs: DataFrame, patterns: tuple[tuple[str, str], ...] = FILING_SECTIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks of each section, numbered on through the document; texts without a section are chunked whole.
+
+    Text before the first section is left out, as is a section without a word.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    parts = sections(rows, patterns)
+    cut = parts.join(rows, "doc_id").select("doc_id", "section", "start", F.expr("substring(text, start + 1, end - start)").alias("text"))
+    whole = rows.join(parts.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("").alias("section"), F.lit(0).cast("long").alias("start"), "text")
+    made = chunks(cut.unionByName(whole).withColumn("k", F.struct("doc_id", "start", "section")), "k", "text").select("doc_id.*", F.col("chunk_index").alias("i"), "n_words", "text")
+    at = Window.partitionBy("doc_id").orderBy("start", "i")
+    out = made.withColumn("chunk_index", (F.row_number().over(at) - 1).cast("long"))
+    return out.select("doc_id", "section", "chunk_index", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("chunk"), F.col("chunk_index").cast("string")).alias("chunk_id"), "n_words", "text")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import grade, ratio
+from .ranking import top_k
 
 #: Weights of the nine analyses.
 SCORE_WEIGHTS = (0.20, 0.15, 0.15, 0.15, 0.10, 0.10, 0.05, 0.05, 0.05)
@@ -67,3 +68,25 @@ def statement_rules() -> list[tuple[str, str, Column]]:
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, and how often beyond the first."""
     return df.groupBy(key).agg((F.count("*") - 1).alias("extra")).where("extra > 0")
+
+
+def weights_add_up(weights: dict[str, float] | tuple[float, ...], within: float = 0.001) -> bool:
+    """Whether weights add up to 1."""
+    return abs(sum(weights.values() if isinstance(weights, dict) else weights) - 1) < within
+
+
+def coverage(hits: DataFrame, has: Column) -> DataFrame:
+    """The share of hits that have their provenance, for each query."""
+    return hits.groupBy("query_id").agg(F.round(F.avg(has.cast("double")), 6).alias("coverage"), F.count("*").alias("n"))
+
+
+def balance_rules() -> list[tuple[str, str, Column]]:
+    """Equity within one percent of assets less liabilities."""
+    off = F.abs(F.col("equity") - (F.col("assets") - F.col("liabilities")))
+    return [("warning", "balance_identity", (F.col("assets") != 0) & (off > F.abs(F.col("assets")) * 0.01))]
+
+
+def best_signals(signals: DataFrame, by: str, score: str, n: int = 3) -> DataFrame:
+    """The ``n`` strongest and weakest signals of each company, marked."""
+    strong = top_k(signals, [by], [F.desc(score), F.asc("signal")], n).withColumn("side", F.lit("strength"))
+    return strong.unionByName(top_k(signals, [by], [F.asc(score), F.asc("signal")], n).withColumn("side", F.lit("weakness")))

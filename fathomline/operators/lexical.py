@@ -87,3 +87,33 @@ def trigram_pairs(left: DataFrame, right: DataFrame, left_col: str, right_col: s
     met = a.join(b, "gram").where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
     both = met.groupBy(left_col, right_col, "na", "nb").agg(F.count("*").alias("n"))
     return both.select(left_col, right_col, F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("sim")).where(F.col("sim") >= least)
+
+
+def with_trigrams(scored: DataFrame, docs: DataFrame, mentions: DataFrame, *, weight: float = 0.5, k: int = 100, id_col: str = "doc_id", name_col: str = "name", least: float = 0.3) -> DataFrame:
+    """Hits of bm25() and, behind them, documents whose ``name_col`` resembles a mention (query_id, mention).
+
+    The latter score ``weight`` times their similarity and count only where the query doesn't have
+    the document yet; then both are cut at ``k``.
+    """
+    near = trigram_pairs(mentions, docs.select(name_col), "mention", name_col, least)
+    found = mentions.join(near, "mention").join(docs.select(F.col(id_col).alias("doc_id"), name_col), name_col)
+    found = found.groupBy("query_id", "doc_id").agg(F.round(F.max("sim") * weight, 6).alias("score"))
+    return best(scored.unionByName(found.join(scored, ["query_id", "doc_id"], "left_anti").select(*scored.columns)), k)
+
+
+#: Tables and columns that a trigram search may name.
+SEARCHABLE = {"chunks": ("text", "section"), "lexicon_entries": ("surface_form", "canonical_label"), "ticker_mappings": ("ticker", "company_name")}
+
+
+def searchable(table: str, column: str) -> str:
+    """The column, if a search may name it."""
+    if column not in SEARCHABLE.get(table, ()):
+        raise ValueError(f"{table}.{column} can't be searched")
+    return column
+
+
+def one_company(hits: DataFrame, companies: DataFrame, docs: DataFrame) -> DataFrame:
+    """Hits of queries that resolve to just one company (query_id, company_id), of that company's documents; of other queries, all."""
+    single = companies.groupBy("query_id").agg(F.countDistinct("company_id").alias("n"), F.first("company_id").alias("only")).where("n = 1").select("query_id", "only")
+    rows = hits.join(single, "query_id", "left").join(docs.select("doc_id", "company_id"), "doc_id", "left")
+    return rows.where(F.col("only").isNull() | (F.col("only") == F.col("company_id"))).select(*hits.columns)

@@ -109,3 +109,28 @@ def entries_of_tickers(tickers: DataFrame, version: str = "v1") -> DataFrame:
     forms = F.explode(F.concat(F.array(F.struct(F.col("ticker").alias("f"), F.lit(1.0).alias("c"))), F.transform(F.coalesce("variants", F.array().cast("array<string>")), lambda v: F.struct(v.alias("f"), F.lit(0.95).alias("c")))))
     rows = tickers.select("canonical_id", F.col("company_name").alias("canonical_label"), forms.alias("x"))
     return rows.select(entry_id(version, F.col("canonical_id"), F.col("x.f")).alias("entry_id"), F.col("x.f").alias("surface_form"), "canonical_id", "canonical_label", F.lit("ticker").alias("entry_type"), F.col("x.c").alias("confidence"))
+
+
+def entries_of_abbreviations(abbreviations: DataFrame, version: str = "v1") -> DataFrame:
+    """Lexicon entries of the abbreviations that stand for a metric."""
+    rows = abbreviations.where(F.coalesce(F.col("metric_id"), F.lit("")) != "")
+    return rows.select(entry_id(version, F.col("metric_id"), F.col("abbreviation")).alias("entry_id"), F.col("abbreviation").alias("surface_form"), F.col("metric_id").alias("canonical_id"), F.col("expansion").alias("canonical_label"), F.lit("abbreviation").alias("entry_type"), F.lit(1.0).alias("confidence"))
+
+
+def expand_abbreviations(tokens: DataFrame, abbreviations: DataFrame) -> DataFrame:
+    """``token``, ``expansion``, ``metric_id``: the first of the list on ties."""
+    hit = tokens.select("token").distinct().join(abbreviations.withColumn("up", F.upper(F.trim("abbreviation"))), F.upper(F.trim("token")) == F.col("up"))
+    return first_wins(hit, ["token"], [F.asc("seq")]).select("token", "expansion", "metric_id")
+
+
+def bumped(entries: DataFrame, version: str) -> DataFrame:
+    """The entries under a new version's ids."""
+    return entries.withColumn("entry_id", entry_id(version, F.col("canonical_id"), F.col("surface_form")))
+
+
+def merged_aliases(old: Column, new: Column) -> Column:
+    """``old`` and those of ``new`` that aren't there in any case; of new ones that differ in case alone, the first."""
+    low = F.transform(old, lambda x: F.lower(x))
+    fresh = F.filter(new, lambda x: ~F.array_contains(low, F.lower(x)))
+    firsts = F.filter(F.transform(fresh, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_position(F.transform(fresh, lambda y: F.lower(y)), F.lower(s["x"])) == s["i"] + 1)
+    return F.concat(old, F.transform(firsts, lambda s: s["x"]))

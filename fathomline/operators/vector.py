@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranking import top_k
 
@@ -86,9 +91,37 @@ def centroids(vectors: DataFrame, by: list[str], vector_col: str = "embedding")
     return vectors.select(*by, F.posexplode(vector_col).alias("dim", "x")).groupBy(*by, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def hashed_embedding(tokens_col: str, dims: int = 64) -> Column:
-    """A term-frequency vector of hashed words at length 1: the offline stand-in for an embedding model."""
-    spots = F.transform(tokens_col, lambda t: F.pmod(F.xxhash64(t), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(spots, lambda s: s == d)).cast("double"))
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(size > 0, F.transform(counts, lambda x: x / size)).otherwise(counts)
+EMBEDDING_DIMS = 64
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def hashed_embedding(tokens: pd.Series) -> pd.Series:
+    """Counts of words by a hash, at length 1: the offline stand-in for an embedding model."""
+
+    def one(words) -> list[float]:
+        spots = [zlib.crc32(w.encode("utf-8", "replace")) % EMBEDDING_DIMS for w in words] if words is not None else []
+        counts = np.bincount(np.array(spots, np.int64), minlength=EMBEDDING_DIMS).astype(float)
+        return (counts / (np.sqrt((counts * counts).sum()) or 1.0)).tolist()
+
+    return tokens.map(one)
+
+
+def lsh_nearest(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, bucket: float = 0.7, reach: float = 1.3) -> DataFrame:
+    """Approximate nearest neighbours by Spark's random projections of vectors at length 1.
+
+    ``query_id``, ``vec_id``, ``score`` (cosine), ``rank``; neighbours further than ``reach`` (the
+    distance of unit vectors) are not looked at. Recall is measured against nearest() in tests.
+    """
+    unit = Normalizer(inputCol="v", outputCol="unit")
+    of = lambda df: unit.transform(df.select(F.col(id_col).alias("id"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("v"))).select("id", "unit")
+    rows = of(vectors)
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(rows)
+    pairs = model.approxSimilarityJoin(of(queries), rows, reach, "d").where("datasetA.id <> datasetB.id")
+    found = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("vec_id"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score"))
+    return top_k(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+
+
+def conditioned(text: Column, *context: Column) -> Column:
+    """The text after its context in brackets, of the parts that aren't empty."""
+    prefix = F.concat_ws(" | ", *[F.nullif(c, F.lit("")) for c in context])
+    return F.when(prefix == "", text).otherwise(F.concat(F.lit("["), prefix, F.lit("] "), text))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fusion, lexical
+from ..operators import fusion, lexical, vector
+from ..sources.scratch import settle
+from . import understanding
 
 
 def hybrid(lexical_hits: DataFrame, vector_hits: DataFrame, *, k: int = 20, candidates: int = 100, method: str = "rrf") -> DataFrame:
@@ -33,3 +35,27 @@ def tiered(fused: DataFrame, tiers: DataFrame, terms: DataFrame, tokens: DataFra
 
 def lexical_hits(docs: DataFrame, terms: DataFrame, **how) -> DataFrame:
     return lexical.bm25(docs, terms, **how).withColumnRenamed("doc_id", "item")
+
+
+def answer(questions: DataFrame, docs: DataFrame, vectors: DataFrame, query_vectors: DataFrame, *, k: int = 20) -> DataFrame:
+    """From questions (query_id, text) to explained hits: parse, route, retrieve in two channels, fuse,
+    rerank where the tier asks for it, explain.
+
+    ``vectors`` (item, embedding) and ``query_vectors`` (query_id, embedding) come from one embedding
+    model. Returns ``query_id``, ``item``, ``rank``, ``tier``, ``intent``, ``explanation``.
+    """
+    routed = understanding.routed(understanding.parsed(questions))
+    terms = lexical.query_terms(routed, "query_id", "normalized")
+    lex = lexical_hits(docs, terms)
+    both = vectors.select(F.col("item").alias("vec_id"), "embedding")
+    asked = query_vectors.select((-F.col("query_id") - 1).alias("vec_id"), "embedding")  # ids that no item has
+    vec = vector.nearest(both, asked, 100).select((-F.col("query_id") - 1).alias("query_id"), F.col("vec_id").alias("item"), "score")
+    hits = settle(fusion.channel(lex, "lexical", "item", "score", 100).unionByName(fusion.channel(vec, "narrative", "item", "score", 100)), "hits")
+    fused = fusion.reciprocal_ranks(hits)
+    wanted = terms.select("term").distinct()
+    held = lexical.tokenized(docs).select(F.col("doc_id").alias("item"), F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi")
+    final = tiered(fused, routed.select("query_id", "tier"), terms, held, k)
+    by = lambda n: F.coalesce(F.max(F.when(F.col("channel") == n, F.col("score"))), F.lit(0.0))
+    scores = hits.groupBy("query_id", "item").agg(by("lexical").alias("l"), by("narrative").alias("v"))
+    rows = final.join(scores, ["query_id", "item"]).join(fused.select("query_id", "item", "fused"), ["query_id", "item"]).join(routed.select("query_id", "intent"), "query_id")
+    return rows.select("query_id", "item", "rank", "tier", "intent", fusion.explanation(F.col("l"), F.col("v"), F.col("fused"), F.col("rank")).alias("explanation"))
