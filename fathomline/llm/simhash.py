@@ -84,7 +84,7 @@ def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     masks = covering_masks(radius)
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("bits").bitwiseAND(_signed(m)).alias("key")) for t, m in enumerate(masks)])
     keyed = nodes.select("bits", F.inline(tables))
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = settle(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")  # so that the join can split a hot bucket
     members = settle(keyed.join(shared, ["t", "key"]).select("t", "bits"), "members")
     flips = F.element_at(F.array(*[F.array(*[_signed(1 << i) for i in range(64) if not m >> i & 1]) for m in masks]), F.col("t") + 1)
     sent = members.select("bits", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("flip"))
