@@ -135,6 +135,22 @@ def test_cut_passages(spark):
     assert substring_dedup.cut_shared_passages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(60, 80, 60), (60, 120, 60), (100, 150, 100), (300, 500, 300)])
+def test_passages_with_other_text_between(spark, sizes):
+    """Both passages of a pair are found, and the text between them stays, as brute force over words says."""
+    rnd, rows, want = random.Random(sum(sizes)), [], {}
+    for i in range(0, 24, 2):
+        one, two = words(rnd, sizes[0], f"o{i}_"), words(rnd, sizes[2], f"t{i}_")
+        for k in (i, i + 1):
+            own = [words(rnd, n, f"w{k}_") for n in (20, sizes[1], 30)]
+            rows.append((k, " ".join([*own[0], *one, *own[1], *two, *own[2]])))
+            want[k] = set(one + two)
+    got = {k: set() for k in want}
+    for r in substring_dedup.shared_passages(docs(spark, rows)).collect():
+        got[r["id"]] |= set(dict(rows)[r["id"]][r["start"] : r["end"]].split())
+    assert got == {k: (w if k % 2 else set()) for k, w in want.items()}
+
+
 def test_every_shared_window_is_found(spark):
     rnd = random.Random(11)
     pool = [words(rnd, rnd.randrange(51, 140), f"p{k}_") for k in range(6)]
