@@ -151,6 +151,20 @@ def test_passages_with_other_text_between(spark, sizes):
     assert got == {k: (w if k % 2 else set()) for k, w in want.items()}
 
 
+def test_passage_whose_parts_have_lesser_holders(spark):
+    """Its halves stand in others with lesser ids, at two places each: the pair that shares it whole is found."""
+    rnd, rows, want = random.Random(17), [], set()
+    for i in range(0, 80, 4):
+        p = words(rnd, 60, f"p{i}_")
+        for k, own in enumerate((p[:30], p[30:])):
+            rows.append((i + k, " ".join([*words(rnd, 40), *own, *words(rnd, 50), *own, *words(rnd, 20)])))
+        for k in (2, 3):
+            rows.append((i + k, " ".join([*words(rnd, 25), *p, *words(rnd, 35)])))
+        want.add((i + 3, " ".join(p)))
+    got = substring_dedup.shared_passages(docs(spark, rows)).collect()
+    assert {(r["id"], dict(rows)[r["id"]][r["start"] : r["end"]]) for r in got} == want
+
+
 def test_every_shared_window_is_found(spark):
     rnd = random.Random(11)
     pool = [words(rnd, rnd.randrange(51, 140), f"p{k}_") for k in range(6)]
