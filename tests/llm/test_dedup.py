@@ -165,6 +165,51 @@ def test_passage_whose_parts_have_lesser_holders(spark):
     assert {(r["id"], dict(rows)[r["id"]][r["start"] : r["end"]]) for r in got} == want
 
 
+def fuzzy_rows(pairs=25):
+    """Pairs that share a passage with words replaced at random or evenly, and for each the case and the passage's words in the second."""
+    rnd, rows, cases = random.Random(23), [], {}
+    for n in (55, 60, 100):
+        for alike in (0.8, 0.85, 0.9):
+            for even in (False, True):
+                for _ in range(pairs):
+                    i, p = len(rows), words(rnd, n, f"p{len(rows)}_")
+                    lost = int(n * (1 - alike) + 1e-9)
+                    at = {int((k + 0.5) * n / lost) for k in range(lost)} if even else set(rnd.sample(range(1, n - 1), lost))
+                    q = [f"x{k}_{i}" if k in at else w for k, w in enumerate(p)]
+                    rows += [(i, " ".join([*words(rnd, 60), *p, *words(rnd, 60)])), (i + 1, " ".join([*words(rnd, 80), *q, *words(rnd, 50)]))]
+                    cases[i + 1] = ((n, alike, even), {w for w in q if w[0] == "p"})
+    return rows, cases
+
+
+def test_fuzzy_passages(spark):
+    """Recall by words in the passage, similarity, and whether changes are evenly spaced."""
+    rows, cases = fuzzy_rows()
+    text, found = dict(rows), {}
+    for r in substring_dedup.shared_passages(docs(spark, rows)).collect():
+        assert r["other"] == r["id"] - 1
+        found.setdefault(r["id"], set()).update(text[r["id"]][r["start"] : r["end"]].split())
+    hits = {}
+    for i, (case, kept) in cases.items():
+        hits.setdefault(case, []).append(len(kept & found.get(i, set())) >= 0.8 * len(kept))
+    recall = {c: sum(h) / len(h) for c, h in hits.items()}
+    print(recall)
+    for (n, alike, _), r in recall.items():
+        assert r >= (0.95 if alike >= 0.85 or n >= 100 else 0.8), recall
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_common_words_of_long_gaps(seed):
+    rnd = random.Random(seed)
+    a, b = ([str(rnd.randrange(9)) for _ in range(rnd.randrange(110, 150))] for _ in range(2))
+    row = [0] * (len(b) + 1)
+    for w in a:
+        last = [0] * (len(b) + 1)
+        for j, v in enumerate(b):
+            last[j + 1] = row[j] + 1 if w == v else max(row[j + 1], last[j])
+        row = last
+    assert substring_dedup._common(a, b) == row[-1]
+
+
 def test_every_shared_window_is_found(spark):
     rnd = random.Random(11)
     pool = [words(rnd, rnd.randrange(51, 140), f"p{k}_") for k in range(6)]
