@@ -92,6 +92,29 @@ def test_drop_near_duplicates(spark):
     assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_pipeline_stage_drops_near_copies(spark):
+    """Copies of 5-word similarity 0.8 or more go, all others that SimHash leaves stay, against brute force."""
+    import corpus_pipeline
+
+    rnd, rows, sets = random.Random(29), [], {}
+    for i in range(0, 120, 2):
+        w = words(rnd, 200)
+        c = list(w)
+        for k in range(i % 8 + 1):
+            c[int((k + 0.5) * 200 / (i % 8 + 1))] = f"x{k}"
+        rows += [(i, " ".join(w)), (i + 1, " ".join(c))]
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(196)}
+    near = {i + 1 for i in range(0, 120, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    assert 0 < len(near) < 60
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()}
+    assert near & kept
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()}
+    assert got == kept - near
+    print(len(near), len(near & kept))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(500).select((F.col("id") * 3 % 500).alias("a"), ((F.col("id") * 3 + 3) % 500).alias("b"))
     got = connected_components(edges, "a", "b")
