@@ -34,3 +34,20 @@ def test_pipeline(spark, sf):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     rows = lambda df: Counter((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in df.collect())
     assert rows(last) == rows(corpus_pipeline.run(spark, sf))
+
+
+def test_pipeline_keeps_the_mixture(spark):
+    """The last stage returns the order of the mixture, however its input's rows lie in files."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, "some words " * 4000, "abc"[min(i % 5, 2)]) for i in range(40)], "doc_id long, text string, source string")
+    want = [(r["id"], r["slot"], r["place"]) for r in corpus_pipeline.mixing.mix(docs).orderBy("slot", "place").collect()]
+    got = corpus_pipeline.tokens(spark, docs.repartition(7), "").collect()
+    assert [(r["doc_id"], r["slot"], r["place"]) for r in got] == want
+    sources, total = dict(docs.select("doc_id", "source").collect()), {s: n for s, n in docs.groupBy("source").count().collect()}
+    weights = {s: n**0.5 / sum(m**0.5 for m in total.values()) for s, n in total.items()}
+    served = {s: {r["slot"] for r in got if sources[r["doc_id"]] == s} for s in total}
+    until = min(map(max, served.values())) + 1  # while all sources have blocks left
+    for slots in range(1, until + 1):
+        for s, w in weights.items():
+            assert abs(sum(x < slots for x in served[s]) - slots * w) < 1.1
