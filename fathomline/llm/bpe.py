@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import text_batches
+from .scratch import small
 
 #: Code points in a leaf of the tree, and in the first window on each side of a seam.
 LEAF, WINDOW = 4096, 32
@@ -143,7 +143,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
     text counts as empty and has no tokens. Repeated rows and null ids keep a row each; other columns
     are ignored. Each text is encoded where it lies; no row moves.
     """
-    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "ids", "n_tokens"]
@@ -151,7 +150,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, pattern)
-        for b in batches:
+        for b in small(batches):
             ids = (use.encode(t.as_py() or "") for t in b.column(1))
             if digests:
                 made = [(len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(use.decode(x)).hexdigest()) for x in ids]
@@ -166,12 +165,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
 
 def decode_documents(tokens: DataFrame, path: str, pattern: str, *, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """``id`` and ``text`` of each row of token ids; null ids give an empty text, broken UTF-8 U+FFFD."""
-    text_batches(tokens.sparkSession)
     rows = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, pattern)
-        for b in batches:
+        for b in small(batches):
             texts = [use.decode(x.as_py() or []).decode("utf-8", "replace") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
 

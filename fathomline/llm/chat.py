@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer, processors
 
-from .scratch import text_batches
+from .scratch import small
 
 #: The control strings of the template.
 START, BREAK, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -82,7 +82,6 @@ def format_conversations(table: DataFrame, tokenizer_path: str, *, conv_col: str
     are empty, and the rows with a null conversation are one conversation. Other columns are ignored.
     An empty table gives an empty result. A task holds one part of one conversation at a time.
     """
-    text_batches(table.sparkSession)
     rows = _sorted(table, conv_col, turn_col, role_col, text_col)
     kind = rows.schema["conv"].dataType.simpleString()
 
@@ -98,7 +97,7 @@ def format_conversations(table: DataFrame, tokenizer_path: str, *, conv_col: str
             loss = pa.array([[{"from": a, "to": b} for a, b in runs]], pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))
             return pa.RecordBatch.from_arrays([pa.array([conv], kinds), pa.array([task], pa.int32()), pa.array([part], pa.int64()), pa.array([text]), pa.array([coded.ids], pa.list_(pa.int32())), loss], ["conv", "task", "part", "formatted", "ids", "loss"])
 
-        for b in batches:
+        for b in small(batches):
             kinds = b.schema.field("conv").type
             for c, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if held and (c != conv or size + len(text) > part_chars):
@@ -124,7 +123,7 @@ def read_back(parts: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = tokenizer(tokenizer_path)
-        for b in batches:
+        for b in small(batches):
             out = []
             for r in b.to_pylist():
                 turns = [(unescape(role), unescape(text)) for role, text in TURN.findall(r["formatted"])]
@@ -145,7 +144,7 @@ def read_back(parts: DataFrame, tokenizer_path: str) -> DataFrame:
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-        for b in batches:
+        for b in small(batches):
             kinds[0] = b.schema.field("conv").type
             for conv, n, turns, masked, chars, tokens in zip(*(b.column(k).to_pylist() for k in (0, 3, 4, 5, 6, 7)), strict=True):
                 if not started or conv != now[0]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .scratch import only, settle, text_batches
+from .scratch import only, settle, small
 from .simhash import BLOCK, SEED, WORD
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -42,17 +42,16 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 def near_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Pairs ``(id, other)`` with ``similarity`` or more of their 5-word shingles in common; enough of them to connect a bucket's near copies."""
-    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     kind = rows.schema["id"].dataType.simpleString()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             made = [bands(h) if len(h := shingles(t.as_py())) else [] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], ["id", "keys"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             good = []
             for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = shingles(s), shingles(t)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .scratch import settle, text_batches
+from .scratch import settle, small
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 STATS = (
@@ -138,11 +138,10 @@ class Ensemble:
 
 def stat_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and ``stats`` of each row; a null text counts as empty."""
-    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             stats = [text_stats(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(stats, pa.list_(pa.float64()))], ["id", "stats"])
 

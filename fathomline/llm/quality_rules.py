@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import text_batches
+from .scratch import small
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -93,12 +93,11 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Works on each whole text alone, so no row moves. Null and empty texts have no words and fail the
     base rules. Repeated rows, ties and null ids keep a row each; other columns are ignored.
     """
-    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=bands.level).compress
-        for b in batches:
+        for b in small(batches):
             out = list(zip(*(_judge(t.as_py() or "", pack, bands) for t in b.column(1)), strict=True))
             if out:
                 yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out)], names)
@@ -110,11 +109,10 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", bands: Bands = BANDS) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and the bands, with all their columns."""
-    text_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=bands.level).compress
-        for b in batches:
+        for b in small(batches):
             at = b.schema.get_field_index(text_col)
             yield b.filter(pa.array([_judge(t.as_py() or "", pack, bands)[6] for t in b.column(at)], pa.bool_()))
 

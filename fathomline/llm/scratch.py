@@ -1,27 +1,66 @@
-"""Batch sizes and id filters that the operators of this subpackage share."""
+"""Slices of Arrow batches, whole groups of a sorted stream and id filters that the operators of this subpackage share."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settle, shared_root
 
-__all__ = ["BROADCAST_IDS", "TEXT_BATCH_ROWS", "new_folder", "only", "settle", "text_batches"]
+__all__ = ["BROADCAST_IDS", "group_ends", "new_folder", "only", "settle", "small", "whole_groups"]
 
-#: Rows in one Arrow batch of whole texts; bounds what a Python worker holds at once.
-TEXT_BATCH_ROWS = 256
+#: Rows and bytes of a slice of whole texts; Spark bounds the bytes of the batch that it is cut from.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 22
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/fathomline/{name}-{uuid.uuid4().hex}"
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small; the setting is read when a plan starts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into slices that Python can expand; one very long text is a slice of its own at most."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def _changes(b: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> np.ndarray:
+    change = np.zeros(max(0, b.num_rows - 1), bool)
+    for k in keys:
+        c = b.column(k)
+        change |= np.asarray(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False), bool) if len(c) > 1 else False
+    return np.flatnonzero(change) + 1
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Of a stream that is sorted by ``keys`` (without nulls): tables that hold each of their groups whole."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and any(held[-1].column(k)[-1] != b.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = _changes(b, keys)
+        if len(cuts):
+            yield pa.Table.from_batches([*held, b.slice(0, int(cuts[-1]))])
+            held = [b.slice(int(cuts[-1]))]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_ends(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Row numbers at which the groups of a sorted table start, and the number of rows."""
+    return np.concatenate(([0], _changes(table, keys), [table.num_rows]))
 
 
 #: Ids in a broadcast at most; more are joined by a shuffle.

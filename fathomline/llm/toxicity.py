@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .scratch import settle, text_batches
+from .scratch import settle, small
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -196,7 +196,7 @@ def _distinct_sample(docs: DataFrame, sample: DataFrame) -> DataFrame:
     rows = docs.join(F.broadcast(sample), docs["id"] == sample["key"]).select("text", "label")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = [t or "" for t in b.column(0).to_pylist()]
             marks = [_minhashes(WORD.findall(t.lower())) for t in texts]
             if texts:
@@ -215,7 +215,7 @@ def _learnt_terms(docs: DataFrame, sample: DataFrame, prior: float, rules: Rules
     rows = _distinct_sample(docs, sample)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             sums: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 sums[label].update(_terms(set(WORD.findall((text or "").lower())), rules.stem))
@@ -259,7 +259,7 @@ def _told(counts: DataFrame, sample: DataFrame, size: int) -> np.ndarray:
 
 def _count_table(docs: DataFrame, voters: Voters) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             counts = [voters.counts(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.list_(pa.float64()))], ["id", "counts"])
 
@@ -271,7 +271,7 @@ def _votes_summed(counts: DataFrame, size: int) -> tuple[float, np.ndarray, np.n
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, pairs = 0, np.zeros((size, size))
-        for b in batches:
+        for b in small(batches):
             if b.num_rows:
                 v = (np.stack([np.asarray(x.values) for x in b.column(0)]) > 0).astype(float)
                 n, pairs = n + b.num_rows, pairs + v.T @ v
@@ -304,7 +304,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame | None = None, *, id_col:
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known, learnt, hints, prior = None, [], [], rules.prior
     if labels is not None:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_IDS, new_folder, settle, text_batches
+from .scratch import BROADCAST_IDS, new_folder, settle, small
 
 #: Fixed values of the formats: the dictionary frame's magic number, and the profile of revisits.
 SKIPPABLE = 0x184D2A5D
@@ -164,7 +164,6 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
     repeated ones joined back. Other columns are ignored. An empty table writes no archive.
     """
     spark = pages.sparkSession
-    text_batches(spark)
     folder = folder or new_folder(spark, "archives")
     if "://" not in folder:
         folder = "file://" + folder.removeprefix("file:")
@@ -182,7 +181,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
         task = TaskContext.get()
         writer = Writer(files, base, f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}", rules)
         shape = pa.schema([("path", pa.string()), ("records", pa.int64()), ("plain_bytes", pa.int64())])
-        for b in batches:
+        for b in small(batches):
             ids, urls, payloads, refers = (c.to_pylist() for c in b.columns)
             for page, url, payload, to in zip(ids, urls, payloads, refers, strict=True):
                 if done := list(writer.add(record(page, url, payload.encode("utf-8", "replace"), to, rules.date))):

@@ -255,6 +255,77 @@ def test_every_shared_window_is_found(spark):
         seen |= set(mine)
 
 
+def spans_of(spark, rows, **how):
+    """The text of each passage found, by id."""
+    text, out = {}, {}
+    for i, t in rows:
+        text.setdefault(i, t)
+    for r in substring_dedup.shared_passages(docs(spark, rows), **how).collect():
+        out.setdefault(r["id"], []).append(text[r["id"]][r["start"] : r["end"]])
+    return out
+
+
+@pytest.mark.parametrize("first", [1, 101])
+def test_passage_whose_pieces_stand_in_many_others(spark, first):
+    """80 words that two documents share, 14-word pieces of which stand in eight lesser documents, or in eight between them."""
+    rnd = random.Random(first)
+    p = words(rnd, 80, "p")
+    rows = [(100, " ".join([*words(rnd, 40), *p, *words(rnd, 30)])), (200, " ".join([*words(rnd, 20), *p, *words(rnd, 50)]))]
+    rows += [(first + k, " ".join([*words(rnd, 60), *p[9 * k : 9 * k + 14], *words(rnd, 60)])) for k in range(8)]
+    assert spans_of(spark, rows) == {200: [" ".join(p)]}
+
+
+def test_passages_of_equal_words_and_of_letters_that_change_length(spark):
+    rnd = random.Random(41)
+    odd = [f"İ{k}w" if k % 9 == 4 else f"Ab{k}" for k in range(70)]
+    same = ["word"] * 60
+    rows = [(k, " ".join([*words(rnd, 30, "u"), *odd, *words(rnd, 30, "v")])) for k in (1, 2)]
+    rows += [(k, " ".join([*words(rnd, 30, "u"), *same, *words(rnd, 30, "v")])) for k in (3, 4)]
+    assert spans_of(spark, rows) == {2: [" ".join(odd)], 4: [" ".join(same)]}
+
+
+def test_different_texts_of_one_id(spark):
+    """Each is a document of its own; equal ones count as one, and each is cut by its own passages."""
+    rnd = random.Random(43)
+    p, q = words(rnd, 60, "p"), words(rnd, 60, "q")
+    alone = " ".join(words(rnd, 90))
+    rows = [(1, " ".join(p + words(rnd, 30))), (2, " ".join(q + words(rnd, 30)))]
+    rows += [(7, " ".join(["a1", *p, "a2"])), (7, " ".join(["b1", *q, "b2"])), (7, alone), (7, alone), (8, alone)]
+    df = docs(spark, rows)
+    got = sorted((r["doc_id"], r["text"]) for r in substring_dedup.cut_shared_passages(df, length_col=None).collect())
+    assert got == sorted([*rows[:2], (7, "a1  a2"), (7, "b1  b2"), (7, alone), (7, alone)])
+
+
+def test_hot_seeds_and_reach_change_nothing(spark):
+    """Ranges of ids for hot seeds, and few words read at first, give the same passages."""
+    rnd = random.Random(47)
+    p = words(rnd, 400, "p")
+    rows = [(k, " ".join([*words(rnd, 30), *p[k % 3 * 60 : 220 + k % 7 * 30], *words(rnd, 20)])) for k in range(60)]
+    want = sorted(map(tuple, substring_dedup.shared_passages(docs(spark, rows)).collect()))
+    assert len(want) >= 59
+    from dataclasses import replace
+
+    for rules in (replace(substring_dedup.RULES, hot_docs=1), replace(substring_dedup.RULES, reach=0)):
+        assert sorted(map(tuple, substring_dedup.shared_passages(docs(spark, rows), rules=rules).collect())) == want
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)", "smallint", "date"])
+def test_passages_by_ids_of_other_types(spark, kind):
+    p = words(random.Random(53), 60)
+    df = docs(spark, [(k, " ".join([f"x{k}", *p])) for k in (1, 2)])
+    as_id = F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int")) if kind == "date" else F.col("doc_id").cast(kind)
+    got = substring_dedup.shared_passages(df.withColumn("doc_id", as_id))
+    assert got.schema["id"].dataType.simpleString() == kind and [r["n_words"] for r in got.collect()] == [60]
+
+
+def test_one_very_long_text(spark):
+    """A passage deep in a text of 3 MB, and a word of 2 MB."""
+    rnd = random.Random(59)
+    p = words(rnd, 80, "p")
+    rows = [(1, " ".join([*words(rnd, 300_000), *p, *words(rnd, 200_000)])), (2, " ".join(["z" * 2_000_000, *p])), (3, "z" * 2_000_000)]
+    assert spans_of(spark, rows) == {2: [" ".join(p)]}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_chains_are_best(seed):
     """The Fenwick tree's scores against the quadratic recurrence."""
