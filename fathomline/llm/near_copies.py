@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .scratch import only, settle, small
+from .scratch import BROADCAST_IDS, only, settle, small, texts_of
 from .simhash import BLOCK, SEED, WORD
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -40,15 +40,14 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)).view(np.int64)) for k in range(BANDS)]
 
 
-def near_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs ``(id, other)`` with ``similarity`` or more of their 5-word shingles in common; enough of them to connect a bucket's near copies."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    kind = rows.schema["id"].dataType.simpleString()
+def _pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(node, other)`` of (id, copy): ``similarity`` or more of their shingles in common."""
+    kind = texts.schema["id"].dataType.simpleString()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            made = [bands(h) if len(h := shingles(t.as_py())) else [] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], ["id", "keys"])
+            made = [bands(h) if len(h := shingles(t.as_py())) else [] for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], ["id", "copy", "keys"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -57,21 +56,48 @@ def near_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 x, y = shingles(s), shingles(t)
                 met = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(met >= similarity * (len(x) + len(y) - met))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["id", "other"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["node", "other"]).filter(pa.array(good, pa.bool_()))
 
-    keyed = settle(rows.mapInArrow(keys, f"id {kind}, keys array<long>").select("id", F.explode("keys").alias("key")).distinct(), "bands")
-    least = settle(keyed.groupBy("key").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other != last"), "buckets")
+    node = F.struct("id", "copy").alias("node")
+    keyed = texts.select("id", "copy", "text").mapInArrow(keys, f"id {kind}, copy int, keys array<long>")
+    keyed = settle(keyed.select(node, F.explode(F.array_distinct("keys")).alias("key")), "bands")
+    least = settle(keyed.groupBy("key").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other != last"), "buckets")
     # A bucket's members meet its least and its greatest; a false one of the two doesn't part the rest.
     members = keyed.join(least, "key")
-    pairs = members.where("id != other").select("id", "other").unionByName(members.where("id != last").select(F.col("last").alias("id"), F.col("id").alias("other")))
+    pairs = members.where("node != other").select("node", "other").unionByName(members.where("node != last").select(F.col("last").alias("node"), F.col("node").alias("other")))
     pairs = settle(pairs.distinct(), "candidates")
-    texts = only(rows.dropDuplicates(["id"]), settle(pairs.select("id").union(pairs.select("other")).distinct(), "needed"), "id")
-    texts = settle(texts, "texts")
-    both = pairs.join(texts.toDF("id", "a"), "id").join(texts.toDF("other", "b"), "other").select("id", "other", "a", "b")
-    return both.mapInArrow(alike, f"id {kind}, other {kind}")
+    needed = settle(pairs.select("node").union(pairs.select("other")).distinct().select("node.*"), "needed")
+    few = needed.count() <= BROADCAST_IDS
+    held = settle(texts.join(F.broadcast(needed) if few else needed, ["id", "copy"], "left_semi").select(node, "text"), "texts")
+    both = pairs.join(held.toDF("node", "a"), "node").join(held.toDF("other", "b"), "other").select("node", "other", "a", "b")
+    return settle(both.mapInArrow(alike, f"node struct<id: {kind}, copy: int>, other struct<id: {kind}, copy: int>"), "near")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    return texts_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"))
+
+
+def near_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs ``(id, other)`` with ``similarity`` or more of their 5-word shingles in common; enough of them to connect a bucket's near copies.
+
+    Different texts of one id are documents of their own. Null and wordless texts and null ids have no pair.
+    """
+    return _pairs(_texts(docs, id_col, text_col)[0], similarity).select(F.col("node.id").alias("id"), F.col("other.id").alias("other"))
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the least id of each group of near copies. Rows with a null id stay, and columns and their order."""
-    found = connected_components(settle(near_pairs(docs, id_col=id_col, text_col=text_col, similarity=similarity), "near"), "id", "other")
-    return only(docs, settle(found.where("node != component").select("node"), "near-copies"), id_col, "left_anti")
+    """``docs`` with the least document of each group of near copies, by id, then by SHA-256 of the text.
+
+    Rows with null ids, and with null or wordless texts, stay; so do rows that repeat an id and its text,
+    if the document does. Columns and their order stay. An empty table gives an empty result.
+    """
+    texts, numbers = _texts(docs, id_col, text_col)
+    found = connected_components(_pairs(texts, similarity), "node", "other")
+    gone = settle(found.where("node != component").select("node.*"), "near-copies")
+    if numbers is None:
+        return only(docs, gone.select("id"), id_col, "left_anti")
+    several = settle(numbers.select("id").distinct(), "several")
+    marks = settle(gone.join(numbers, ["id", "copy"]).select("id", "mark"), "gone")
+    left = only(docs, settle(only(gone.select("id"), several, "id", "left_anti").unionByName(several), "dropped"), id_col, "left_anti")
+    apart = only(docs, several, id_col)
+    return left.unionByName(apart.join(marks, (apart[id_col] == marks["id"]) & (F.unhex(F.sha2(apart[text_col], 256)) == marks["mark"]), "left_anti"))

@@ -10,10 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.scratch import settle, shared_root
 
-__all__ = ["BROADCAST_IDS", "group_ends", "new_folder", "only", "settle", "small", "whole_groups"]
+__all__ = ["BROADCAST_IDS", "group_ends", "new_folder", "only", "settle", "small", "texts_of", "whole_groups", "without"]
 
 #: Rows and bytes of a slice of whole texts; Spark bounds the bytes of the batch that it is cut from.
 SLICE_ROWS, SLICE_BYTES = 256, 1 << 22
@@ -76,3 +77,24 @@ def only(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -
     if key.count() <= BROADCAST_IDS:
         key = F.broadcast(key)
     return docs.join(key, docs[id_col] == key["_only_id"], how)
+
+
+def texts_of(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Of rows (id, text) without nulls: each different text of an id as (id, copy, text), and for the ids with several rows (id, mark, copy).
+
+    ``copy`` numbers the texts of an id by their SHA-256, ``mark``; without such ids it is 0 throughout.
+    """
+    several = settle(rows.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "several")
+    if several.isEmpty():
+        return rows.select("id", F.lit(0).alias("copy"), "text"), None
+    apart = settle(only(rows, several, "id").withColumn("mark", F.unhex(F.sha2("text", 256))).dropDuplicates(["id", "mark"]), "apart")
+    numbers = apart.select("id", "mark", (F.row_number().over(Window.partitionBy("id").orderBy("mark")) - 1).alias("copy"))
+    numbers = settle(numbers, "numbers")
+    single = only(rows, several, "id", "left_anti").select("id", F.lit(0).alias("copy"), "text")
+    return single.unionByName(apart.join(numbers, ["id", "mark"]).select("id", "copy", "text")), numbers
+
+
+def without(texts: DataFrame, gone: DataFrame) -> DataFrame:
+    """``texts`` but for those whose (id, copy) is in the settled table ``gone``; broadcast where it is small."""
+    gone = gone.select("id", "copy")
+    return texts.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ["id", "copy"], "left_anti")

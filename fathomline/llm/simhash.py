@@ -3,7 +3,9 @@
 The 64 bit positions get labels, the vectors 1 .. 2^(r+1) - 1 of r + 1 bits, in turn. Table v keeps
 the bits whose label has an odd inner product with v. Any r labels have a common v that is
 orthogonal to all of them, so two fingerprints that differ in at most r bits agree in table v: no
-pair within the radius is missed.
+pair within the radius is missed. Members of a bucket are compared with each other; a bucket with too
+many is cut by covering masks over the bits that its own mask leaves open, as often as needed, so
+that no pair within the radius is parted there either.
 """
 
 from __future__ import annotations
@@ -14,23 +16,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
-from .scratch import only, settle, small
+from .scratch import group_ends, only, settle, small, whole_groups
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 #: Shingles whose bits are counted at once; bounds memory on very long texts.
 BLOCK = 1 << 16
+#: Members of a bucket that are compared at once; buckets with more are cut by further masks.
+BUCKET = 2048
 
 
-def covering_masks(radius: int) -> list[int]:
-    """One mask of kept bits for each of the 2^(radius+1) - 1 tables."""
+def covering_masks(radius: int, free: int = (1 << 64) - 1) -> list[int]:
+    """One mask of kept bits, out of the ``free`` ones, for each of the 2^(radius+1) - 1 tables."""
     size = (1 << radius + 1) - 1
-    labels = [i % size + 1 for i in range(64)]
-    return [sum(1 << i for i, label in enumerate(labels) if (label & v).bit_count() % 2) for v in range(1, size + 1)]
+    labels = {b: i % size + 1 for i, b in enumerate(b for b in range(64) if free >> b & 1)}
+    return [sum(1 << b for b, label in labels.items() if (label & v).bit_count() % 2) for v in range(1, size + 1)]
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -65,33 +70,93 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(each, f"id {kind}, bits long")
 
 
-def _signed(x: int) -> Column:
-    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges ``(bits, other)`` that connect the distinct fingerprints within ``radius`` (1 or 2) bits.
+def tree(bits: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Of distinct fingerprints: pairs (numbers) within the radius that connect all such pairs."""
+    n = len(bits)
+    near = np.empty((n, n), bool)
+    for at in range(0, n, 256):
+        near[at : at + 256] = np.bitwise_count(bits[at : at + 256, None] ^ bits[None, :]) <= radius
+    seen, left, right = np.zeros(n, bool), [], []
+    for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
+        if seen[i]:
+            continue
+        seen[i], stack = True, [i]
+        while stack:
+            j = stack.pop()
+            new = np.flatnonzero(near[j] & ~seen).tolist()
+            seen[new] = True
+            stack += new
+            left += [j] * len(new)
+            right += new
+    return left, right
 
-    Fingerprints alone in all their buckets have no neighbour and go no further. The rest send, from
-    each shared bucket, themselves and their one-bit neighbours outside the table's mask: two of them
-    are within two bits just if they send a common value (for radius 1, if one sends the other).
-    Each value points at the least that sent it, so the edges grow with the members of a bucket, not
-    with their pairs, and all of them are true links.
+
+def _compared(members: DataFrame, radius: int) -> DataFrame:
+    """Edges ``(bits, other)`` within each bucket ``(table, key)``; its members arrive sorted, as a stream."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("table", "key")):
+            ends, bits = group_ends(table, ("table", "key")), table["bits"].to_numpy().view(np.uint64)
+            sizes, left, right = np.diff(ends), [], []
+            two = ends[:-1][sizes == 2]
+            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= radius]
+            for k in np.flatnonzero(sizes > 2):
+                a, b = tree(bits[ends[k] : ends[k + 1]], radius)
+                left += [int(ends[k]) + i for i in a]
+                right += [int(ends[k]) + i for i in b]
+            a, b = (np.concatenate((two + d, np.array(x, np.int64))) for d, x in ((0, left), (1, right)))
+            yield pa.RecordBatch.from_arrays([pa.array(bits[a].view(np.int64)), pa.array(bits[b].view(np.int64))], ["bits", "other"])
+
+    return members.repartition("table", "key").sortWithinPartitions("table", "key", "bits").mapInArrow(each, "bits long, other long")
+
+
+def near_links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """Edges ``(bits, other)`` that connect the distinct fingerprints within ``radius`` bits, all of them true links.
+
+    A fingerprint alone in its bucket goes no further. The members of a bucket of up to ``bucket`` are
+    compared with each other. Those of a larger one are spread over the buckets of further tables, by
+    masks over the bits that its table leaves open: those buckets have fewer open bits, and distinct
+    fingerprints are at most two to the power of these, so the cuts end. Edges grow with the members,
+    not with their pairs.
     """
-    if radius not in (1, 2):
-        raise ValueError("radius: 1 or 2")
-    masks = covering_masks(radius)
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("bits").bitwiseAND(_signed(m)).alias("key")) for t, m in enumerate(masks)])
-    keyed = nodes.select("bits", F.inline(tables))
-    shared = settle(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")  # so that the join can split a hot bucket
-    members = settle(keyed.join(shared, ["t", "key"]).select("t", "bits"), "members")
-    flips = F.element_at(F.array(*[F.array(*[_signed(1 << i) for i in range(64) if not m >> i & 1]) for m in masks]), F.col("t") + 1)
-    sent = members.select("bits", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("flip"))
-    sent = sent.select("bits", F.col("bits").bitwiseXOR(F.col("flip")).alias("at")).distinct()
-    if radius == 1:
-        return sent.join(nodes.select(F.col("bits").alias("at")), "at").where("at != bits").select("bits", F.col("at").alias("other"))
-    least = sent.groupBy("at").agg(F.min("bits").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return sent.join(least, "at").where("bits != other").select("bits", "other").distinct()
+    masks, rows, parts = [(1 << 64) - 1], nodes.select("bits", F.lit(0).alias("table")), []
+    closed = [0]
+    while True:
+        wider = [[k | m for m in covering_masks(radius, masks[i])] for i, k in enumerate(closed)]
+        each = len(wider[0])
+        of = F.array(*[F.array(*[F.lit(_signed(k)).cast("long") for k in ks]) for ks in wider])
+        keyed = rows.select("bits", (F.col("table") * each).alias("first"), F.posexplode(F.element_at(of, F.col("table") + 1)).alias("n", "mask"))
+        keyed = keyed.select("bits", (F.col("first") + F.col("n")).alias("table"), F.col("bits").bitwiseAND(F.col("mask")).alias("key"))
+        sizes = settle(keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")  # so that the join can split a hot bucket
+        members = keyed.join(sizes, ["table", "key"])
+        closed = [k for ks in wider for k in ks]
+        masks = [(1 << 64) - 1 & ~k for k in closed]
+        many = F.col("n") > max(bucket, 2)
+        parts.append(_compared(members.where(~many).select("table", "key", "bits"), radius))
+        if sizes.where(many).isEmpty():
+            break
+        rows = settle(members.where(many).select("bits", "table"), "members")
+        if not any(masks):
+            raise RuntimeError("distinct fingerprints that no bit parts")
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    return settle(found.distinct(), "links")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> DataFrame:
+    """``id``, ``bits``, ``root`` (the least fingerprint reachable) and ``component_id`` of each row."""
+    marks = settle(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
+    nodes = settle(marks.groupBy("bits").agg(F.min("id").alias("first")), "nodes")
+    found = connected_components(near_links(nodes.select("bits"), radius), "bits", "other")
+    nodes = nodes.join(found.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "first", F.coalesce("component", "bits").alias("root"))
+    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_bits = settle(nodes.join(least, "root").select("bits", "root", "component_id"), "components")
+    return marks.join(by_bits, "bits").select("id", "bits", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -103,24 +168,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null where all of its ids are). Other columns are ignored, whatever their names. An empty table
     gives an empty result.
     """
-    marks = settle(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    nodes = marks.groupBy("bits").agg(F.min("id").alias("first"))
-    found = connected_components(near_links(nodes.select("bits"), radius), "bits", "other")
-    nodes = nodes.join(found.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "first", F.coalesce("component", "bits").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_bits = settle(nodes.join(least, "root").select("bits", "component_id"), "components")
-    return marks.join(by_bits, "bits").select("id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _components(docs, id_col, text_col, width, radius)
+    return found.select("id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least id, in one row.
+    """``docs`` with one row of each component: one with its least id.
 
-    Rows with a null id can't be named and stay. Columns and their order stay.
+    It is decided by row: of an id with several rows, those go that belong to a component with a lesser
+    id; of several rows with the least id of one component, the one with the least fingerprint, then
+    text, then hash of all columns stays. Rows with a null id can't be named and stay. Null and empty
+    texts are one component. Columns and their order stay. An empty table gives an empty result.
     """
-    found = settle(near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, radius=radius), "groups")
-    left = only(docs, settle(found.where("id != component_id").select("id").distinct(), "dropped"), id_col, "left_anti")
-    many = settle(found.where("id = component_id").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "repeated")
-    if many.isEmpty():
+    found = settle(_components(docs, id_col, text_col, width, radius).where("id is not null"), "groups")
+    several = settle(found.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "several")
+    lesser = only(found.where("id != component_id").select("id"), several, "id", "left_anti")
+    left = only(docs, settle(lesser.unionByName(several), "dropped"), id_col, "left_anti")
+    if several.isEmpty():
         return left
-    again = only(left, many, id_col).dropDuplicates([id_col])
-    return only(left, many, id_col, "left_anti").unionByName(again)
+    named = [f"c{k}" for k in range(len(docs.columns))]
+    key, text = (named[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = settle(only(docs, several, id_col).toDF(*named).withColumn("_mark", F.sha2(F.coalesce(text, F.lit("")), 256)), "repeated")
+    marks = fingerprints(rows.select(key, "_mark", text).dropDuplicates([key, "_mark"]).select(F.struct(key, "_mark").alias("at"), text), id_col="at", text_col=text, width=width)
+    known = only(found, several, "id").select("id", "bits", "root", "component_id").distinct()
+    marks = marks.select(F.col(f"id.{key}").alias("id"), F.col("id._mark").alias("mark"), "bits").join(known, ["id", "bits"]).where("id = component_id")
+    rows = rows.join(marks, (F.col(key) == F.col("id")) & (F.col("_mark") == F.col("mark")))
+    order = Window.partitionBy("root", "id").orderBy("bits", F.asc_nulls_first(text), F.xxhash64(*named))
+    kept = rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*named).toDF(*docs.columns)
+    return left.unionByName(kept)

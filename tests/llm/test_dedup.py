@@ -71,13 +71,27 @@ def test_fingerprints_and_components(spark):
     assert {r["id"]: r["component_id"] for r in got if r["id"] is not None} == want
 
 
+def test_rows_of_one_id_are_dropped_one_by_one(spark):
+    """A unique text stays though another row of its id is a copy; one row of each component is left."""
+    x, y, z = (" ".join(words(random.Random(k), 50)) for k in range(3))
+    rows = [(3, x), (5, y), (5, x), (5, y), (6, y), (5, z), (5, None), (2, None)]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in simhash.drop_near_duplicates(docs(spark, rows)).collect())
+    assert kept == sorted([(3, x), (5, y), (5, z), (2, "")])
+    # near copies, too: one word of 50 more
+    rows = [(3, x), (5, y), (5, x + " more"), (7, y + " more")]
+    import corpus_pipeline
+
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect())
+    assert kept == sorted([(3, x), (5, y)])
+
+
 def test_near_links_are_all_true_and_enough(spark):
     rnd = random.Random(1)
     base = [rnd.getrandbits(64) for _ in range(30)]
     bits = {b ^ sum(1 << x for x in rnd.sample(range(64), rnd.randrange(5))) for b in base for _ in range(12)} | {0, (1 << 64) - 1}
     signed = [x - (1 << 64) if x >> 63 else x for x in bits]
-    for radius in (1, 2):
-        got = [tuple(r) for r in simhash.near_links(spark.createDataFrame([(x,) for x in signed], "bits long"), radius).collect()]
+    for radius, bucket in ((1, 2048), (2, 2048), (2, 2), (3, 4), (4, 64)):
+        got = [tuple(r) for r in simhash.near_links(spark.createDataFrame([(x,) for x in signed], "bits long"), radius, bucket).collect()]
         assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius for a, b in got)
         near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius]
         assert joined(got, signed) == joined(near, signed)
@@ -376,8 +390,19 @@ def test_embeddings(spark, block):
         assert got[1000 + i]["component_id"] == got[i]["component_id"]
 
 
+def test_two_vectors_of_one_id_and_null_ids(spark):
+    v, w = [1.0, 0.0, 0.1], [0.0, 1.0, 0.3]
+    near = lambda x: [c * 2 + 0.001 for c in x]
+    rows = [(5, v), (5, w), (5, w), (7, near(v)), (8, near(w)), (None, v), (9, [1.0, 1.0, 1.0])]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, x, "m", "c") for i, x in rows], f"vec_id long, embedding array<{kind}>, mark string, code string")
+        got = sorted((r["id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect())
+        assert got == [(-1, 0, None, True), (5, 1, 5, True), (5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (8, 1, 5, False), (9, 0, 9, True)]
+
+
 def test_block_size_changes_nothing(spark):
     df = spark.createDataFrame([(i, v) for i, v in vector_rows()], "vec_id long, embedding array<float>")
     rows = lambda b: sorted(map(tuple, embedding_dedup.near_duplicates(df, block=b).collect()))
     assert rows(1024) == rows(16)
+    assert tuple(map(len, map(set, [rows(1024)]))) == (len(vector_rows()),)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
