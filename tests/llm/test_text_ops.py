@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+from fractions import Fraction
 from collections import Counter, defaultdict
 
 import public_tokenizers as P
@@ -151,27 +153,51 @@ def test_warc_repeats_and_null_ids(spark, tmp_path):
     assert got == {("5", "response", None): 2, ("3", "revisit", "5"): 1, (None, "response", None): 1}
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 0.7, "b": 0.2, "c": 0.06, "d": 0.04}])
-def test_pfair_windows(weights):
-    tickets = mixing.to_tickets(weights)
-    total, slots = sum(tickets.values()), mixing.pfair_round(tickets)
-    assert sorted(x for s in slots.values() for x in s) == list(range(total))
-    for s, at in slots.items():
-        for j, x in enumerate(at, 1):
-            assert (j - 1) * total // tickets[s] <= x < -(-j * total // tickets[s])
-        for slot in range(total + 1):
-            assert abs(sum(x < slot for x in at) - slot * tickets[s] / total) < 1
-
-
-def test_phases_place_every_block_once():
-    tickets, blocks = {"a": 7, "b": 2, "c": 1}, {"a": 10, "b": 40, "c": 3}
-    plan, seen = mixing.phases(tickets, blocks), []
-    for p in plan:
-        total, slots = sum(p.tickets.values()), mixing.pfair_round(p.tickets)
-        for s in p.tickets:
-            for n in range(p.last[s] - p.first[s]):
-                seen.append((p.slot + n // p.tickets[s] * total + slots[s][n % p.tickets[s]], s, p.first[s] + n))
-    assert sorted(x[0] for x in seen) == list(range(53)) and Counter(x[1] for x in seen) == blocks and len({x[1:] for x in seen}) == 53
+def fluid(weights, blocks):
+    """Slots at which each block is due if all sources with blocks left are served at once, by their weights, in exact numbers."""
+    left, v, t, out, done = dict(blocks), Fraction(0), Fraction(0), {s: [] for s in blocks}, dict.fromkeys(blocks, 0)
+    while left:
+        end = min(Fraction(blocks[s]) / weights[s] for s in left)
+        for s in left:
+            while done[s] < blocks[s] and Fraction(done[s] + 1) / weights[s] <= end:
+                done[s] += 1
+                out[s].append(t + (Fraction(done[s]) / weights[s] - v) * sum(weights[u] for u in left))
+        t, v = t + (end - v) * sum(weights[u] for u in left), end
+        left = {s: n for s, n in left.items() if done[s] < n}
+    return out
+
+
+CASES = [
+    ({"a": 1, "b": 1}, {"a": 40, "b": 40}),
+    ({"a": 99996, "b": 4}, {"a": 3000, "b": 2}),
+    ({"a": 5004, "b": 4996}, {"a": 400, "b": 380}),
+    ({"a": 7, "b": 2, "c": 1}, {"a": 10, "b": 40, "c": 3}),
+    ({f"s{k}": 1 + k * k % 97 for k in range(300)}, {f"s{k}": 1 + k % 5 for k in range(300)}),
+]
+
+
+@pytest.mark.parametrize("case", range(len(CASES)))
+def test_pfair_schedule(spark, case):
+    """Windows against exact fluid service; each block in its window, each slot once, each source within a block of its share."""
+    weights, blocks = CASES[case]
+    weights = {s: Fraction(w, sum(weights.values())) for s, w in weights.items()}
+    due = fluid(weights, blocks)
+    table = spark.createDataFrame([(s, float(weights[s]), n) for s, n in blocks.items()], "source string, weight double, blocks long")
+    found = mixing.windows(table)
+    want = {(s, j): (math.floor(d[j - 1]) if j else 0, math.ceil(x)) for s, d in due.items() for j, x in enumerate(d)}
+    assert {(r["source"], r["block"]): (r["release"], r["deadline"]) for r in found.collect()} == want
+    for size in (1 << 16, 4 * len(blocks)):
+        rows = mixing.schedule(found, size).collect()
+        assert sorted(r["slot"] for r in rows) == list(range(sum(blocks.values())))
+        assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+        if size == 1 << 16:  # one range: the schedule of earliest deadlines, slot by slot
+            open_, slots = sorted((r, d, s, j) for (s, j), (r, d) in want.items()), {}
+            for t in range(len(want)):
+                best = min((x for x in open_ if x[0] <= t), key=lambda x: (x[1], x[0], x[2], x[3]))
+                open_.remove(best)
+                slots[best[2:]] = t
+            late = [x for x in slots if slots[x] >= want[x][1]]
+            assert not late and all(want[x][0] <= t for x, t in slots.items())
 
 
 def test_mixing(spark):
