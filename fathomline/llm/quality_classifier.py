@@ -1,6 +1,6 @@
 """A quality classifier as a sparse rule ensemble.
 
-Boosted trees over text statistics give conjunctive rules, one for each path from the root; a
+A forest of trees over text statistics gives conjunctive rules, one for each path from the root; a
 logistic regression with a lasso penalty keeps few of them; those become one Spark column expression.
 """
 
@@ -77,13 +77,12 @@ def text_stats(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Rules:
-    """``sample`` labelled rows at most train ``trees`` of ``depth``; ``most`` of their rules at most,
-    the ones with most support, go into the regression with the lasso ``penalty``."""
+    """``sample`` labelled rows at most train ``trees`` of ``depth``; all their rules go into the
+    regression, and the lasso ``penalty`` chooses among them."""
 
     sample: int = 20_000
     trees: int = 24
     depth: int = 4
-    most: int = 240
     penalty: float = 0.001
     seed: int = 17
 
@@ -160,9 +159,6 @@ def fit(stats: DataFrame, labels: DataFrame, rules: Rules = RULES) -> Ensemble:
     trees = forest.fit(train.select(array_to_vector("stats").alias("x"), "label"))
     found = sorted(paths(trees.toDebugString))
     at = [F.element_at("stats", k + 1) for k in range(len(STATS))]
-    # Support of each rule in the sample: one row comes back.
-    support = train.agg(*[F.sum(compiled(r, at).cast("long")).alias(f"r{i}") for i, r in enumerate(found)]).first()
-    found = [r for i, r in sorted(enumerate(found), key=lambda x: (-min(support[x[0]], n - support[x[0]]), x[1])) if 0 < support[i] < n][: rules.most]
     held = train.select("label", array_to_vector(F.array(*[compiled(r, at).cast("double") for r in found])).alias("x"))
     lasso = LogisticRegression(featuresCol="x", elasticNetParam=1.0, regParam=rules.penalty, standardization=False, maxIter=100).fit(held)
     weights = lasso.coefficients.toArray()

@@ -17,4 +17,4 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, most: int) -
     rows = rows.groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top").drop("top")
     rows = settle(rows, "labels")
     share = min(1.0, most / max(1, rows.count()))
-    return rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < round(share * 1_000_000))
+    return rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 50)) < F.lit(round(share * (1 << 50))))

@@ -21,6 +21,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .sampling import labelled_sample
 from .scratch import settle, small
@@ -48,21 +49,20 @@ CUES = {"threat": "kill hurt destroy beat find die dead", "second_person": "you"
 
 @dataclass(frozen=True)
 class Rules:
-    """``sample``: labelled rows, and as many others, that are learnt from at most. ``terms``: telling
-    terms at most, dealt to ``groups`` voters by their stems of ``stem`` letters. ``prior`` is the
+    """``sample``: labelled rows that are learnt from at most; all other rows together weigh as much as so
+    many. Telling terms are dealt to ``groups`` voters by their stems of ``stem`` letters. ``prior`` is the
     share of toxic texts where no label says more. A term is telling if, with 95 percent confidence,
     over ``least_share`` of the texts that hold it are toxic. First letters whose share is, as surely,
     ``hint_lift`` times the prior are hints, dealt to ``hint_groups`` voters: one word of a kind says
     nothing, several do. Labels are right ``label_right`` of the time."""
 
     sample: int = 20_000
-    terms: int = 400
     groups: int = 10
     hint_groups: int = 5
     stem: int = 4
     prior: float = 0.08
     least_share: float = 0.6
-    hint_lift: float = 2.8
+    hint_lift: float = 2.5
     label_right: float = 0.95
 
 
@@ -203,15 +203,16 @@ def _distinct_sample(docs: DataFrame, sample: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(texts), b.column(1), *(pa.array(m, pa.int64()) for m in zip(*marks, strict=True))], ["text", "label", "m0", "m1", "m2", "m3"])
 
     held = settle(rows.mapInArrow(each, "text string, label int, m0 long, m1 long, m2 long, m3 long"), "sample")
-    marks = held.select("m0", "m1", "m2", "m3", "label").dropDuplicates(["m0", "m1", "m2", "m3"])
-    for k in range(4):
-        marks = marks.dropDuplicates([f"m{k}"])
-    kept = settle(marks.select("m0", "m1", "m2", "m3"), "kept")
-    return held.join(F.broadcast(kept), ["m0", "m1", "m2", "m3"]).dropDuplicates(["m0", "m1", "m2", "m3"]).select("text", "label")  # as bounded as the sample
+    held = held.groupBy("text", "label").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(4)])  # copies of a text have its minima
+    held = settle(held.withColumn("mark", F.sha2("text", 256)), "marked")
+    # Of the texts that share a minimum, the one with the least mark stays, whatever the order of rows.
+    first = held.select("mark", "label", *[(F.row_number().over(Window.partitionBy(f"m{k}").orderBy("mark", "label")) == 1).alias(f"first{k}") for k in range(4)])
+    kept = settle(first.where("first0 and first1 and first2 and first3").select("mark", "label"), "kept")
+    return held.join(F.broadcast(kept), ["mark", "label"]).select("text", "label")  # as bounded as the sample
 
 
 def _learnt_terms(docs: DataFrame, sample: DataFrame, prior: float, rules: Rules) -> tuple[list[str], list[str]]:
-    """The terms that tell toxic texts best in the labelled sample, and hints; ``terms`` of each at most come to the driver."""
+    """The terms that tell toxic texts in the labelled sample, and hints, best first; no more come to the driver than the sample has."""
     rows = _distinct_sample(docs, sample)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,21 +231,26 @@ def _learnt_terms(docs: DataFrame, sample: DataFrame, prior: float, rules: Rules
     bound = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     rated = settle(sums.withColumn("bound", bound).where(F.col("bound") >= min(rules.least_share, rules.hint_lift * prior)), "terms")
     order = [F.desc(F.col("toxic") - 3 * F.col("clean")), F.asc("term")]
-    taken = lambda df: {r["term"]: (r["toxic"], r["clean"]) for r in df.orderBy(*order).limit(rules.terms).collect()}
+    taken = lambda df: {r["term"]: (r["toxic"], r["clean"]) for r in df.orderBy(*order).collect()}
     sharp = taken(rated.where(F.col("bound") >= rules.least_share))
     dull = taken(rated.where((F.col("bound") < rules.least_share) & F.col("term").endswith("-")))
     hints = [t for t in _specific(sharp | dull) if t in dull]
     # of first letters that nest, the shorter say all
-    return _specific(sharp), [t for t in hints if not any(t != u and t.startswith(u[:-1]) for u in hints)]
+    known = {u[:-1] for u in hints}
+    return _specific(sharp), [t for t in hints if not any(t[:n] in known for n in range(1, len(t) - 1))]
 
 
 def _specific(counts: dict[str, tuple[int, int]]) -> list[str]:
     """The terms but for first letters most of whose toxic texts a longer term covers, with fewer clean ones."""
+    longer: dict[str, list[str]] = {}
+    for t in counts:
+        for n in range(1, len(t) + 1):
+            longer.setdefault(t[:n], []).append(t)
     out = []
     for term, (toxic, clean) in counts.items():
         start = term.removesuffix("-")
-        longer = (c for t, c in counts.items() if t != term and term != start and t.startswith(start))
-        if not any(c[0] >= 0.8 * toxic and c[1] < clean for c in longer):
+        rest = (counts[t] for t in longer[start] if t != term and term != start)
+        if not any(c[0] >= 0.8 * toxic and c[1] < clean for c in rest):
             out.append(term)
     return out
 
@@ -297,8 +303,9 @@ def _linear(start: float, steps: np.ndarray, at: list[Column]) -> Column:
 def toxicity_scores(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", rules: Rules = RULES) -> DataFrame:
     """One row ``(id, score, posterior)`` for each input row; ``score`` is from 0 to 1.
 
-    ``labels`` are the rows that may be learnt from; of them, and of the other rows, a sample of
-    ``rules.sample`` each trains. The label model is fitted to the votes of all documents. Without
+    ``labels`` are the rows that may be learnt from; of them a sample of ``rules.sample`` trains, by a
+    hash of the id. The label model and the classifier are fitted to the votes of all documents; how
+    rows are partitioned changes scores by rounding alone. Without
     labels the written lexicons and patterns alone vote. Null and empty texts get no vote and the
     score of such texts. Repeated rows and null ids keep a row each; other columns are ignored. An
     empty table gives an empty result.
@@ -325,16 +332,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame | None = None, *, id_col:
     total = counts.count()
     if not total:
         return counts.select("id", F.lit(0.0).alias("score"), F.lit(0.0).alias("posterior"))
-    share = min(1.0, rules.sample / total)
-    train = counts.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000)) < round(share * 1_000_000)).select(odds.alias("odds"), *[f.alias(f"f{k}") for k, f in enumerate(features)])
+    # Texts with the same counts are one row; together they weigh as much as ``sample`` texts.
+    alike = counts.groupBy("counts").agg(F.count("*").alias("n"))
+    train = alike.select((F.col("n") * F.lit(min(1.0, rules.sample / total))).alias("n"), odds.alias("odds"), *[f.alias(f"f{k}") for k, f in enumerate(features)])
     if known is not None:
         # Where the label votes too, its log odds add to those of the others.
         sure = math.log(rules.label_right / (1 - rules.label_right))
-        seen = counts.join(F.broadcast(known), counts["id"] == known["key"]).select((odds + F.when(F.col("label") == 1, sure).otherwise(-sure)).alias("odds"), *[f.alias(f"f{k}") for k, f in enumerate(features)])
+        seen = counts.join(F.broadcast(known), counts["id"] == known["key"]).select(F.lit(1.0).alias("n"), (odds + F.when(F.col("label") == 1, sure).otherwise(-sure)).alias("odds"), *[f.alias(f"f{k}") for k, f in enumerate(features)])
         train = train.unionByName(seen)
     train = settle(train.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.least("odds", F.lit(30.0)), F.lit(-30.0))))), "training")
     vector = array_to_vector(F.array(*[F.col(f"f{k}") for k in range(len(features))])).alias("x")
-    both = train.select(vector, F.lit(1.0).alias("y"), F.col("p").alias("w")).unionByName(train.select(vector, F.lit(0.0).alias("y"), (1 - F.col("p")).alias("w")))
+    both = train.select(vector, F.lit(1.0).alias("y"), (F.col("n") * F.col("p")).alias("w")).unionByName(train.select(vector, F.lit(0.0).alias("y"), (F.col("n") * (1 - F.col("p"))).alias("w")))
     fit = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1e-4, maxIter=60).fit(both)
     score = 1 / (1 + F.exp(-_linear(float(fit.intercept), np.array(fit.coefficients.toArray()), features)))
     return counts.select("id", score.alias("score"), (1 / (1 + F.exp(-odds))).alias("posterior"))

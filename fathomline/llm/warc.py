@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import BROADCAST_IDS, new_folder, settle, small
@@ -154,6 +154,20 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, payload
 
 
+#: Names that Spark's file systems and Arrow's have for the same stores.
+STORES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as Spark resolves it, by its default file system where no store is named, in Arrow's spelling."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    store, _, rest = whole.partition(":")
+    if store not in STORES:
+        raise ValueError(f"archives can't be written to {store}:, only to {', '.join(STORES)}")
+    return f"{STORES[store]}://{rest.removeprefix('//')}"
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", rules: Archive = ARCHIVE) -> DataFrame:
     """Write a record for each row into archives below ``folder``; returns the manifest.
 
@@ -165,8 +179,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "archives")
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
+    folder = qualified(spark, folder)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("mark", F.unhex(F.sha1("payload")))
     heads = rows.groupBy("mark").agg(F.max("id").alias("head"), F.min("id").alias("low")).where("head != low").select(F.col("mark").alias("head_mark"), "head")
@@ -197,6 +210,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     ``record_type``, ``refers_to`` (text), ``payload`` (null for a revisit).
 
     Length and digest of a response are those of the payload read; those of a revisit, its header's.
+    A record without a page id or address has nulls there; an empty payload is read as ''. A manifest
+    without rows gives no record; an archive that ends within a record raises an error.
     Archives are dealt out to tasks, and each is read as a stream, a record at a time.
     """
 
@@ -218,6 +233,5 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), shape.types, strict=True)], schema=shape)
 
-    tasks = max(1, manifest.count())
-    rows = manifest.select("path", "folder").repartition(min(tasks, 10_000), "path")
+    rows = manifest.select("path", "folder").repartitionByRange(max(1, manifest.count()), "path")
     return rows.mapInArrow(each, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload string")
