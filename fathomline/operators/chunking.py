@@ -10,7 +10,7 @@ from ..functions import text as T
 
 #: Words of a chunk, and of the overlap of two, from 512 and 64 tokens at 1.3 tokens a word.
 CHUNK_WORDS, OVERLAP_WORDS = int(512 / 1.3), int(64 / 1.3)
-#: Headings of sections of filings, as (name, pattern).
+#: Headings of sections of filings, as (name, pattern); case is ignored, so that variants of it are left out.
 FILING_SECTIONS = (
     ("Risk Factors", r"Item\s+1[A.]?\s*[-–—:]?\s*Risk\s+Factors"),
     ("MD&A", r"Item\s+7[A.]?\s*[-–—:]?\s*Management.?s\s+Discussion"),
@@ -22,8 +22,9 @@ FILING_SECTIONS = (
     ("Financial Statements", r"Item\s+8\s*[-–—:]?\s*Financial\s+Statements"),
     ("Changes and Disagreements", r"Item\s+9\s*[-–—:]?\s*Changes"),
     ("Forward-Looking Statements", r"Forward[- ]Looking\s+Statements"),
+    ("Notes to Financial Statements", r"Notes?\s+to\s+(?:Consolidated\s+)?Financial\s+Statements"),
     ("Prepared Remarks", r"Prepared\s+Remarks"),
-    ("Q&A Session", r"Q(?:uestion)?[&\s]+A(?:nswer)?\s*(?:Session)?"),
+    ("Q&A Session", r"(?:Q(?:uestion)?[&\s]+A(?:nswer)?|Q&A)\s*(?:Session)?"),
     ("Opening Remarks", r"Opening\s+Remarks"),
     ("Closing Remarks", r"(?:Closing|Concluding)\s+Remarks"),
 )
@@ -45,12 +46,21 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
 
 def sections(docs: DataFrame, patterns: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``section``, ``start``, ``end`` (characters from 0): from each first match to the next one's."""
+    """``doc_id``, ``section``, ``start``, ``end`` (characters from 0): from each match of a heading to the next one's of any.
+
+    A pattern's matches start after the parts that it splits the text into and the matches between
+    them: lengths alone are summed up, along each text. Matches at one place go by the order of their names.
+    """
     c = F.col(text_col)
-    found = F.array_compact(F.array(*[F.when(F.regexp_instr(c, F.lit("(?is)" + p)) > 0, F.struct((F.regexp_instr(c, F.lit("(?is)" + p)) - 1).cast("long").alias("start"), F.lit(n).alias("section"))) for n, p in patterns]))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(c).cast("long").alias("size"), F.array_sort(found).alias("found")).select("doc_id", "size", F.posexplode("found").alias("i", "x"), "found")
-    end = F.coalesce(F.try_element_at("found", F.col("i") + 2)["start"], F.col("size"))
-    return rows.select("doc_id", F.col("x.section").alias("section"), F.col("x.start").alias("start"), end.alias("end"))
+    sizes = lambda of: F.transform(of, F.length)
+    each = F.array(*[F.struct(F.lit(n).alias("section"), sizes(F.split(c, "(?is)" + p, -1)).alias("parts"), sizes(F.regexp_extract_all(c, F.lit("(?is)" + p), F.lit(0))).alias("matches")) for n, p in patterns])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(c).cast("long").alias("size"), F.inline(each)).where(F.size("matches") > 0)
+    rows = rows.select("doc_id", "size", "section", F.posexplode(F.arrays_zip("parts", "matches")).alias("i", "x")).where("x.matches is not null")
+    before = Window.partitionBy("doc_id", "section").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.sum(F.col("x.parts") + F.col("x.matches")).over(before) - F.col("x.matches")
+    rows = rows.withColumn("start", start.cast("long"))
+    end = F.coalesce(F.lead("start").over(Window.partitionBy("doc_id").orderBy("start", "section")), F.col("size"))
+    return rows.select("doc_id", "section", "start", end.alias("end"))
 
 
 def filing_type(text: Column) -> Column:
@@ -65,11 +75,6 @@ def speakers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(SPEAKER), F.lit(1)))
 
 
-def next_start(df: DataFrame, by: str, start: str, last: Column) -> DataFrame:
-    """``end``: the next row's start in a group; the last row's is ``last``."""
-    return df.withColumn("end", F.coalesce(F.lead(start).over(Window.partitionBy(by).orderBy(start)), last))
-
-
 #: First headings of the parts of an annual report, and of a call.
 ANNUAL_PARTS = (
     ("item_1", r"(?:ITEM\s*1[.\s]|Part\s+I\b)[^\n]*?Business"),

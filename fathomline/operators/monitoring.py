@@ -49,6 +49,21 @@ def centroid_drift(vectors: DataFrame, group: Column, vector_col: str = "embeddi
     return sums.select(F.round(1 - F.coalesce(F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")), F.lit(0.0)), 6).alias("drift"))
 
 
+def sample_drift(samples: DataFrame, order: str, vector_col: str = "embedding", *, last: int = 100, least: int = 10, threshold: float = 0.05) -> DataFrame:
+    """``drift`` and ``significant`` between the first and the second half of the ``last`` samples, by ``order``; nulls from under ``least`` samples."""
+    rows = samples.orderBy(F.desc(order)).limit(last).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0)))).withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)  # at most ``last`` rows
+    found = centroid_drift(rows.where(F.col("_n") >= least), F.col("_i") < F.floor(F.col("_n") / 2), vector_col)
+    enough = rows.agg((F.count("*") >= least).alias("_enough"))
+    return found.crossJoin(F.broadcast(enough)).select(F.when(F.col("_enough"), F.col("drift")).alias("drift"), F.when(F.col("_enough"), F.col("drift") > threshold).alias("significant"))  # one row each
+
+
+def quality_snapshot(log: DataFrame, by: list[str], tiers: tuple[str, ...], intents: tuple[str, ...]) -> DataFrame:
+    """Of rows (top1, top10, empty, tier, intent): means of the scores, share of empty results, and how many queries of each tier and intent."""
+    of = lambda column, names: [F.sum((F.col(column) == n).cast("long")).alias(f"{column}_{n}") for n in names]
+    means = [F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(a) for c, a in ((F.col("top1"), "avg_top1_score"), (F.col("top10"), "avg_top10_score"), (F.col("empty").cast("double"), "empty_result_rate"))]
+    return log.groupBy(*by).agg(*means, *of("tier", tiers), *of("intent", intents))
+
+
 def activate(generations: DataFrame, key: str, chosen: Column) -> DataFrame:
     """The ``chosen`` generation is active, all others deprecated."""
     return generations.withColumn("status", F.when(F.col(key).eqNullSafe(chosen), "active").otherwise("deprecated"))

@@ -113,12 +113,29 @@ def metric_drift(t: Tables) -> DataFrame:
     return rows.select("event_type", "week", "drift", (F.col("drift") > 0.1).alias("significant"))
 
 
+@query("""with l as (from (select vec_id, embedding from embeddings order by vec_id desc limit 100)), r as (select *, row_number() over (order by vec_id) - 1 as i, count(*) over () as n from l),
+x as (select i < n // 2 as g, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from r), m as (select dim, avg(x) filter (g) as a, avg(x) filter (not g) as b from x group by dim)
+select round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) as drift, round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) > 0.05 as significant from m""")
+def sample_drift(t: Tables) -> DataFrame:
+    """Of the last 100 samples, the first half against the second."""
+    return monitoring.sample_drift(t.embeddings, "vec_id")
+
+
 @query("""with x as (select vec_id % 2 = 0 as g, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from embeddings), m as (select dim, avg(x) filter (g) as a, avg(x) filter (not g) as b from x group by dim)
 select round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) as drift from m""")
 def centroid_drift(t: Tables) -> DataFrame:
     return monitoring.centroid_drift(t.embeddings, F.col("vec_id") % 2 == 0)
 
 
+@query("""with r as (select user_id % 7 as service, value as top1, value / 2 as top10, event_type = 'error' as empty, ['A', 'B', 'C'][event_id % 3 + 1] as tier, case when event_id % 2 = 0 then 'compare' else 'explain' end as intent from events)
+select service, round(avg(top1), 6) as avg_top1_score, round(avg(top10), 6) as avg_top10_score, round(avg(empty::int), 6) as empty_result_rate, count(*) filter (tier = 'A') as "tier_A", count(*) filter (tier = 'B') as "tier_B", count(*) filter (tier = 'C') as "tier_C", count(*) filter (intent = 'compare') as intent_compare, count(*) filter (intent = 'explain') as intent_explain from r group by service""")
+def retrieval_snapshot(t: Tables) -> DataFrame:
+    """Scores, empty results, tiers and intents of a log of retrievals, here of events."""
+    tier = F.element_at(F.array(*map(F.lit, "ABC")), (F.col("event_id") % 3 + 1).cast("int"))
+    log = t.events.select((F.col("user_id") % 7).alias("service"), F.col("value").alias("top1"), (F.col("value") / 2).alias("top10"), (F.col("event_type") == "error").alias("empty"), tier.alias("tier"), F.when(F.col("event_id") % 2 == 0, "compare").otherwise("explain").alias("intent"))
+    return monitoring.quality_snapshot(log, ["service"], ("A", "B", "C"), ("compare", "explain"))
+
+
 @query("from (select event_type, event_id, value from events qualify row_number() over (partition by event_type order by ts desc, event_id desc) <= 1000)")
 def sliding_last_n(t: Tables) -> DataFrame:
     return monitoring.last_n(t.events, ["event_type"], [F.desc("ts"), F.desc("event_id")]).select("event_type", "event_id", "value")

@@ -14,18 +14,19 @@ from .text_queries import TOKENS
 SOURCE_BOOSTS = {"src0": 1.2, "src1": 1.3, "src2": 1.1, "src4": 1.1, "src5": 1.15}
 
 
-def terms(t: Tables, first: int = 8) -> DataFrame:
-    return lexical.query_terms(t.benchmark, "item_id", "text", first)
+def terms(t: Tables) -> DataFrame:
+    """All distinct terms of the benchmark's items, taken as questions."""
+    return lexical.query_terms(t.benchmark, "item_id", "text")
 
 
-def _bm25_sql(first: int = 8, docs: str = "documents") -> str:
-    """CTEs up to ``scored``: query_id, doc_id, score, n_terms; ``asked``: query_id, term."""
-    return rf"""tok as (select doc_id, {TOKENS} as w from {docs}), len as (select doc_id, len(w) as dl from tok), n as (select count(*) as n, avg(dl) as mean from len),
-asked as (select distinct item_id as query_id, unnest((regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_&/]+'))[1:{first}]) as term from benchmark),
-tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from tok) where term in (select term from asked) group by all),
-df as (select term, count(*) as df from tf group by term),
-part as (select doc_id, term, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) as p from tf join df using (term) join len using (doc_id), n),
-scored as (select query_id, doc_id, round(sum(p), 6) as score, count(*) as n_terms from part join asked using (term) group by all)"""
+def _bm25_sql(docs: str = "documents", p: str = "") -> str:
+    """CTEs up to ``scored``: query_id, doc_id, score, n_terms; ``asked``: query_id, term; their names behind ``p``."""
+    return rf"""{p}tok as (select doc_id, {TOKENS} as w from {docs}), {p}len as (select doc_id, len(w) as dl from {p}tok), {p}n as (select count(*) as n, avg(dl) as mean from {p}len),
+{p}asked as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_&/]+')) as term from benchmark),
+{p}tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from {p}tok) where term in (select term from {p}asked) group by all),
+{p}df as (select term, count(*) as df from {p}tf group by term),
+{p}part as (select doc_id, term, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) as p from {p}tf join {p}df using (term) join {p}len using (doc_id), {p}n),
+{p}scored as (select query_id, doc_id, round(sum(p), 6) as score, count(*) as n_terms from {p}part join {p}asked using (term) group by all)"""
 
 
 _RANK = "row_number() over (partition by query_id order by score desc, doc_id)"
@@ -36,9 +37,9 @@ def bm25_topk(t: Tables) -> DataFrame:
     return lexical.best(lexical.bm25(t.documents, terms(t)), 10)
 
 
-@query(f"with {_bm25_sql(3)}, m as (select query_id, count(*) as asked from asked group by 1), s as (select scored.* from scored join m using (query_id) where n_terms = asked) select query_id, doc_id, score, {_RANK} as rank from s qualify {_RANK} <= 10")
+@query(f"with {_bm25_sql()}, m as (select query_id, count(*) as asked from asked group by 1), s as (select scored.* from scored join m using (query_id) where n_terms = asked) select query_id, doc_id, score, {_RANK} as rank from s qualify {_RANK} <= 10")
 def fts_and_topk(t: Tables) -> DataFrame:
-    return lexical.best(lexical.bm25(t.documents, terms(t, 3), mode="and"), 10)
+    return lexical.best(lexical.bm25(t.documents, terms(t), mode="and"), 10)
 
 
 @query(f"with en as (select * from documents where lang = 'en'), {_bm25_sql(docs='en')} select query_id, doc_id, score, {_RANK} as rank from scored qualify {_RANK} <= 10")
@@ -275,13 +276,14 @@ def hybrid_tiered(t: Tables) -> DataFrame:
 def _run_and_qrels(t: Tables) -> tuple[DataFrame, DataFrame]:
     pool = lexical.best(lexical.bm25(t.documents, terms(t)), 50).join(t.labels, "doc_id")
     qrels = pool.select("query_id", F.col("doc_id").alias("item"), (F.col("quality") * (2 - F.col("toxic"))).cast("int").alias("rel"))
-    run = lexical.best(lexical.bm25(t.documents, terms(t, 5)), 100).select("query_id", F.col("doc_id").alias("item"), "rank")
+    run = lexical.best(lexical.bm25(t.documents.where("lang = 'en'"), terms(t)), 100).select("query_id", F.col("doc_id").alias("item"), "rank")
     return run, qrels
 
 
+#: The run to judge ranks the English documents alone, by their own frequencies and lengths.
+_EN = f"en as (select * from documents where lang = 'en'), {_bm25_sql('en', 'en_')},"
 _JUDGED = f"""{_bm25_sql()}, qrels as (select query_id, doc_id as item, cast(quality * (2 - toxic) as integer) as rel from (select query_id, doc_id from scored qualify {_RANK} <= 50) join labels using (doc_id)),
-asked5 as (select distinct item_id as query_id, unnest((regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_&/]+'))[1:5]) as term from benchmark),
-scored5 as (select query_id, doc_id, round(sum(p), 6) as score from part join asked5 using (term) group by all), run as (select query_id, doc_id as item, {_RANK} as rank from scored5 qualify {_RANK} <= 100),
+{_EN} run as (select query_id, doc_id as item, {_RANK} as rank from en_scored qualify {_RANK} <= 100),
 j as (select query_id, item, rank, coalesce(rel, 0) as rel from run left join qrels using (query_id, item)), nr as (select query_id, count(*) as n_rel from qrels where rel > 0 group by 1), ks as (select unnest([1, 3, 5, 10, 20, 50, 100])::bigint as k)"""
 
 
@@ -304,10 +306,11 @@ def ir_map_mrr(t: Tables) -> DataFrame:
     return evaluation.average_precision(*_run_and_qrels(t))
 
 
-@query(f"with {_JUDGED}, {_AP} select count(*) as n_queries, round(avg(ap), 6) as map, round(avg(rr), 6) as mrr from ap")
+@query(f"with {_JUDGED}, {_AP}, a as (select coalesce(ap, 0) as ap, coalesce(rr, 0) as rr from benchmark left join ap on query_id = item_id) select count(*) as n_queries, round(avg(ap), 6) as map, round(avg(rr), 6) as mrr from a")
 def ir_summary(t: Tables) -> DataFrame:
-    """Macro averages over the queries."""
-    return ir_map_mrr(t).agg(F.count("*").alias("n_queries"), F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("rr"), 6).alias("mrr"))
+    """Macro averages over all queries; those without a hit count as 0."""
+    found = t.benchmark.select(F.col("item_id").alias("query_id")).join(ir_map_mrr(t), "query_id", "left").na.fill(0.0, ["ap", "rr"])
+    return found.agg(F.count("*").alias("n_queries"), F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
 @query("""with r as (select event_type as method, value as latency, round((user_id % 100) / 100.0::double, 6) as recall, round((event_id % 50) / 50.0::double, 6) as ndcg, round(1.0::double / (1 + event_id % 10), 6) as rr from events)

@@ -38,11 +38,11 @@ def clean_pages(t: Tables) -> DataFrame:
 
 
 @query(r"""
-with a as (select doc_id, replace(translate(text, chr(8211) || chr(8212) || chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(160) || chr(8203) || chr(8206) || chr(8207) || chr(65279), '--''''"" '), chr(8230), '...') as x from documents),
+with a as (select doc_id, replace(translate(text, chr(8211) || chr(8212) || chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(160) || chr(8203) || chr(8206) || chr(8207) || chr(65279), '--''''"" '), chr(8230), '...') as x from (select doc_id, nfc_normalize(text) as text from documents)),
 b as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{ad}]', '', 'g'), '[ \t\r\f\x0b]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as x from a)
 select doc_id, md5(x) as digest, length(x) as size from b""")
 def normalize_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.normalize_text("text").alias("x")).select("doc_id", F.md5("x").alias("digest"), F.length("x").cast("long").alias("size"))
+    return t.documents.select("doc_id", T.normalize_text(T.nfc("text")).alias("x")).select("doc_id", F.md5("x").alias("digest"), F.length("x").cast("long").alias("size"))
 
 
 @query(rf"""
@@ -96,7 +96,8 @@ def chunk_counts(t: Tables) -> DataFrame:
 
 #: Sections of a web page, by its tags.
 PAGE_SECTIONS = (("head", "<head"), ("title", "<title"), ("body", "<body"), ("script", "<script"), ("footer", "<footer"))
-_FOUND = " union all ".join(f"select page_id, '{n}' as section, instr(lower(html), '{p}') - 1 as start, length(html) as size from pages" for n, p in PAGE_SECTIONS)
+#: Every match of a pattern starts after the parts before it and the matches between them.
+_FOUND = " union all ".join(f"select page_id, '{n}' as section, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))::bigint as start, size from (select page_id, length(html) as size, string_split_regex(html, '(?is){p}') as p, regexp_extract_all(html, '(?is){p}') as m from pages)" for n, p in PAGE_SECTIONS)
 
 
 @query(f"""select page_id as doc_id, section, start, coalesce(lead(start) over (partition by page_id order by start, section), size) as "end" from ({_FOUND}) where start >= 0""")
@@ -194,7 +195,7 @@ g as (select *, intent in ('explain', 'trend') or tier = 'C' as needs_graph from
 
 
 @query(f"""with {_ROUTED} select question_id, intent, cast(confidence as double) as confidence, tier, multi, needs_graph,
- 'Intent=' || intent || ' (tier ' || tier || ')' || case when multi then '; multi-company' else '' end || case when needs_graph then '; graph-expansion' else '' end as reasoning from g""")
+ 'Intent=' || intent || ' (tier ' || tier || ')' || case when len(told) > 0 then '; signals: [' || array_to_string(list_transform(told[1:3], lambda x: printf('%s=%.2f', x.n, round(-x.s, 6))), ', ') || ']' else '' end || case when multi then '; multi-company' else '' end || case when needs_graph then '; graph-expansion' else '' end as reasoning from (select *, list_sort(list_filter([{", ".join(f"{{'s': -s_{n}::double, 'i': {i}, 'n': '{n}'}}" for i, n in enumerate(understanding.INTENTS))}], lambda x: x.s < 0)) as told from g)""")
 def intent_route(t: Tables) -> DataFrame:
     rows = understanding.routed(understanding.parsed(questions(t)))
     return rows.select("question_id", "intent", F.col("confidence").cast("double").alias("confidence"), "tier", "multi", "needs_graph", understanding.reasoning(rows).alias("reasoning"))

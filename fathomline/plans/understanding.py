@@ -20,8 +20,8 @@ INTENTS = {
 TIERS = {"find_evidence": "A", "compare": "B", "explain": "C", "compute": "A", "summarize": "B", "trend": "B", "screen": "B"}
 
 
-def _share(text: Column, cues: tuple[str, ...]) -> Column:
-    hits = [text.rlike("(?i)" + p).cast("int") for p in cues]
+def _share(lower: Column, cues: tuple[str, ...]) -> Column:
+    hits = [lower.rlike(p).cast("int") for p in cues]
     return sum(hits[1:], hits[0]) / F.lit(len(cues))
 
 
@@ -39,13 +39,13 @@ def parsed(queries: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def routed(queries: DataFrame) -> DataFrame:
-    """Adds ``intent``, ``confidence``, ``tier``, ``multi``, ``needs_graph`` to parsed queries."""
-    shares = {n: _share(F.col("normalized"), cues) for n, cues in INTENTS.items()}
-    top = F.greatest(*shares.values())
-    intent = F.when(top == 0, "find_evidence")
-    for name, share in shares.items():
-        intent = intent.when(share == top, name)
-    out = queries.withColumns({"intent": intent, "confidence": F.when(top == 0, 0.5).otherwise(F.round(F.least(top * 2, F.lit(1.0)), 6))})
+    """Adds ``shares`` (of each intent's cues), ``intent``, ``confidence``, ``tier``, ``multi``, ``needs_graph`` to parsed queries."""
+    lower = queries.withColumn("_lower", F.lower("normalized"))
+    out = lower.withColumn("shares", F.array(*[_share(F.col("_lower"), cues) for cues in INTENTS.values()])).drop("_lower")
+    out = out.withColumn("_top", F.array_max("shares"))
+    names = F.array(*[F.lit(n) for n in INTENTS])
+    intent = F.when(F.col("_top") == 0, "find_evidence").otherwise(F.element_at(names, F.array_position("shares", F.col("_top")).cast("int")))
+    out = out.withColumns({"intent": intent, "confidence": F.when(F.col("_top") == 0, 0.5).otherwise(F.round(F.least(F.col("_top") * 2, F.lit(1.0)), 6))}).drop("_top")
     multi = (F.size("entities") > 1) | F.coalesce(F.col("comparison") == "compare", F.lit(False))
     base = F.element_at(F.create_map(*[F.lit(x) for p in TIERS.items() for x in p]), F.col("intent"))
     out = out.withColumns({"multi": multi, "tier": F.when(multi & (base == "A"), "B").otherwise(base)})
@@ -67,5 +67,8 @@ def stages(queries: DataFrame, top_k: int = 100, rerank: int = 50) -> DataFrame:
 
 
 def reasoning(queries: DataFrame) -> Column:
-    """The decision in words."""
-    return F.concat_ws("; ", F.format_string("Intent=%s (tier %s)", "intent", "tier"), F.when(F.col("multi"), "multi-company"), F.when(F.col("needs_graph"), "graph-expansion"))
+    """The decision in words, with the three strongest signals, in the order of the intents on ties."""
+    signals = F.transform(F.arrays_zip(F.col("shares"), F.array(*[F.lit(n) for n in INTENTS]).alias("n")), lambda x, i: F.struct((-x["shares"]).alias("s"), i.alias("i"), x["n"].alias("n")))
+    best = F.slice(F.array_sort(F.filter(signals, lambda x: x["s"] < 0)), 1, 3)
+    told = F.array_join(F.transform(best, lambda x: F.format_string("%s=%.2f", x["n"], F.round(-x["s"], 6))), ", ")
+    return F.concat_ws("; ", F.format_string("Intent=%s (tier %s)", "intent", "tier"), F.when(told != "", F.concat(F.lit("signals: ["), told, F.lit("]"))), F.when(F.col("multi"), "multi-company"), F.when(F.col("needs_graph"), "graph-expansion"))
