@@ -324,7 +324,7 @@ def test_hot_seeds_and_reach_change_nothing(spark):
     want, covered = found()
     assert len(want) >= 59
     assert found(hot_docs=1)[0] == want
-    few = found(reach=0)[1]  # rows may end where another passage of the document goes on, up to a word that agrees by chance
+    few = found(reach=50)[1]  # rows may end where another passage of the document goes on, up to a word that agrees by chance
     assert all(len(few[i] ^ covered[i]) <= 12 for i in covered), {i: sorted(few[i] ^ covered[i]) for i in covered}
 
 
