@@ -26,15 +26,17 @@ SUFFIXES = (
     ("ed", ""), ("ly", ""), ("er", ""), ("es", ""), ("s", ""),
 )
 #: Abbreviations that are identifiers and aren't stemmed.
-ABBREVIATIONS = (
-    "EPS FCF EBITDA EBIT ROE ROA ROIC ROI P/E PE P/B PB P/S PS EV DCF WACC NIM NPL CAC LTV ARR MRR GMV TAM SAM SOM CAGR YOY QOQ MOM "
-    "BPS SGA CAPEX OPEX IPO M&A ESG GDP CPI PPI TTM LTM MRQ FY CY NAV AUM"
-).split()
+ABBREVIATIONS = [
+    "EPS", "FCF", "EBITDA", "EBIT", "ROE", "ROA", "ROIC", "ROI", "P/E", "PE", "P/B", "PB", "P/S", "PS", "EV", "DCF",
+    "WACC", "NIM", "NPL", "CAC", "LTV", "ARR", "MRR", "GMV", "TAM", "SAM", "SOM", "CAGR", "YOY", "QOQ", "MOM", "BPS",
+    "SGA", "CAPEX", "OPEX", "IPO", "M&A", "ESG", "GDP", "CPI", "PPI", "TTM", "LTM", "MRQ", "FY", "CY", "NAV", "AUM",
+]
 #: Words that name a metric.
-METRIC_WORDS = (
-    "revenue sales income profit margin eps ebitda ebit fcf cash debt equity assets liabilities roe roa roic pe pb ps ev market cap "
-    "dividend yield growth cagr gross operating net"
-).split()
+METRIC_WORDS = [
+    "revenue", "sales", "income", "profit", "margin", "eps", "ebitda", "ebit", "fcf", "cash", "debt", "equity",
+    "assets", "liabilities", "roe", "roa", "roic", "pe", "pb", "ps", "ev", "market", "cap", "dividend", "yield",
+    "growth", "cagr", "gross", "operating", "net",
+]
 #: Cues of comparison, in the order in which they are tried, and of negation.
 COMPARISONS = (
     ("compare", r"\bcompare\b|\bvs\.?\b|\bversus\b|\bagainst\b"),

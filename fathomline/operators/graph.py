@@ -10,11 +10,26 @@ from .ranking import top_k
 
 #: Node and edge types of each zone.
 ZONES = {
-    "entity": ("company subsidiary executive product regulator ticker exchange investor industry sector", "has_subsidiary employed_by produces regulated_by listed_on competes_with invested_in belongs_to_sector belongs_to_industry"),
-    "data": ("financial_fact ratio guidance time_series", "has_fact has_ratio gave_guidance fact_for_period"),
-    "knowledge": ("claim event risk guidance_change analyst_opinion", "acquired merged_with partnered_with divested mentioned_in_claim impacts revised_guidance risk_affects"),
-    "lexical": ("alias abbreviation translation domain_synonym schema_mapping", "alias_of abbreviates translates synonym_of maps_to_concept"),
-    "provenance": ("document extraction_run embedding_run model system", "derived_from wasGeneratedBy used wasAttributedTo wasAssociatedWith"),
+    "entity": (
+        ("company", "subsidiary", "executive", "product", "regulator", "ticker", "exchange", "investor", "industry", "sector"),
+        ("has_subsidiary", "employed_by", "produces", "regulated_by", "listed_on", "competes_with", "invested_in", "belongs_to_sector", "belongs_to_industry"),
+    ),
+    "data": (
+        ("financial_fact", "ratio", "guidance", "time_series"),
+        ("has_fact", "has_ratio", "gave_guidance", "fact_for_period"),
+    ),
+    "knowledge": (
+        ("claim", "event", "risk", "guidance_change", "analyst_opinion"),
+        ("acquired", "merged_with", "partnered_with", "divested", "mentioned_in_claim", "impacts", "revised_guidance", "risk_affects"),
+    ),
+    "lexical": (
+        ("alias", "abbreviation", "translation", "domain_synonym", "schema_mapping"),
+        ("alias_of", "abbreviates", "translates", "synonym_of", "maps_to_concept"),
+    ),
+    "provenance": (
+        ("document", "extraction_run", "embedding_run", "model", "system"),
+        ("derived_from", "wasGeneratedBy", "used", "wasAttributedTo", "wasAssociatedWith"),
+    ),
 }
 
 
@@ -22,7 +37,7 @@ def unknown_types(edges: DataFrame) -> DataFrame:
     """Edge types that their zone doesn't know, with how many edges have them."""
     known = F.lit(False)
     for zone, (_, kinds) in ZONES.items():
-        known = known | ((F.col("zone") == zone) & F.col("edge_type").isin(kinds.split()))
+        known = known | ((F.col("zone") == zone) & F.col("edge_type").isin(*kinds))
     return edges.where(~known).groupBy("zone", "edge_type").agg(F.count("*").alias("n"))
 
 

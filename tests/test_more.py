@@ -1,6 +1,7 @@
 """Typed tokens, builders, ingestion, registries and whole answers."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,14 +14,34 @@ from fathomline.sources import readers
 catalog.load()
 
 
-def test_narrative_scan():
-    text = "In FY2024 revenue rose 12.5% to $3,100M USD; M&A hurt EPS growth."
-    found = tokens.scan_narrative(text)
-    assert all(text[a:b] == w for w, _, a, b, _ in found)
-    kinds = {w: (k, n) for w, k, _, _, n in found}
-    assert kinds["FY2024"] == ("period", "FY2024") and kinds["12.5%"] == ("number", "12.5%") and kinds["USD"] == ("currency", "USD")
-    assert kinds["M&A"] == ("identifier", "M&A") and kinds["EPS"] == ("identifier", "EPS") and kinds["rose"] == ("narrative", "rose")
-    assert [a for _, _, a, _, _ in found] == sorted(a for _, _, a, _, _ in found)
+def test_narrative_tokens(spark):
+    text = "In FY2024 revenue rose 12.5% to $3,100M USD; M&A hurt EPS growth, A/FY2023 and ttm 12."
+    found = spark.createDataFrame([(text,)], "t string").select(F.inline(tokens.narrative_tokens("t"))).collect()
+    assert all(text[r["start"] : r["end"]] == r["text"] for r in found)
+    kinds = {r["text"]: (r["kind"], r["normalized"]) for r in found}
+    assert kinds["FY2024"] == ("period", "FY2024") and kinds["12.5%"] == ("number", "12.5%") and kinds["$3,100M"] == ("number", "$3100M") and kinds["USD"] == ("currency", "USD")
+    assert kinds["M&A"] == ("identifier", "M&A") and kinds["EPS"] == ("identifier", "EPS") and kinds["rose"] == ("narrative", "rose") and kinds["ttm 12"] == ("period", "TTM12")
+    assert kinds["A/FY2023"] == ("narrative", "a/fy2023") and kinds["FY2023"][0] == "period"  # a word may start before a period
+    assert [r["start"] for r in found] == sorted(r["start"] for r in found)
+
+
+def test_spans_place_by_place():
+    """Against a walk along the text that tries each kind at each place."""
+    import random
+
+    rnd = random.Random(3)
+    kinds = [("period", r"(?i)\b(?:FY|CY|Q[1-4]|H[12]|TTM|LTM|YTD|MRQ)\s*\d{0,4}\b"), ("number", r"(?<!\w)[-+]?\$?\d[\d,]*\.?\d*[BMKbmk%]?(?!\w)"), ("currency", r"\b(?:USD|EUR)\b")]
+    for _ in range(2000):
+        text = "".join(rnd.choice(["FY", "Q1", " ", "20", "3", "USD", "a/b", "-", "$", "5,0", ".", "M", "x_y", "H2 "]) for _ in range(rnd.randrange(12)))
+        at, want, mask = 0, [], set()
+        while at < len(text):
+            hit = next(((k, m) for k, p in kinds if (m := re.compile(p).match(text, at))), None)
+            if hit:
+                want.append((hit[0], at, hit[1].end()))
+                mask |= set(range(at, hit[1].end()))
+            at = hit[1].end() if hit else at + 1
+        want += [("word", *m.span()) for m in re.finditer(r"\b[\w&/]+\b", text) if m.start() not in mask]
+        assert sorted(tokens.spans(text, tokens.TYPED, tokens.WORD)) == sorted(want), repr(text)
 
 
 def test_identifier_scan(spark):
@@ -29,14 +50,6 @@ def test_identifier_scan(spark):
     assert [x["normalized"] for x in got[0]["x"]] == ["US0378331005", "BRK.B", "REST"] and got[1]["x"] is None
 
 
-def test_stem_word_is_the_column(spark):
-    from fathomline.functions import text as T
-
-    words = ["organization", "cats", "running", "hopefulness", "quickly", "tied", "a", "testing", "nationally", "boxes"]
-    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem("w").alias("s")).collect()
-    assert {r["w"]: r["s"] for r in rows} == {w: tokens.stem_word(w) for w in words}
-
-
 def test_company_graph(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"canonical_id": "c1", "name": "A", "ticker": "AAA", "sector": "Tech", "aliases": ["Al"]}]))
     nodes, edges = graph_build.companies(readers.read_companies(spark, str(tmp_path / "c.json")))
