@@ -117,3 +117,10 @@ def one_company(hits: DataFrame, companies: DataFrame, docs: DataFrame) -> DataF
     single = companies.groupBy("query_id").agg(F.countDistinct("company_id").alias("n"), F.first("company_id").alias("only")).where("n = 1").select("query_id", "only")
     rows = hits.join(single, "query_id", "left").join(docs.select("doc_id", "company_id"), "doc_id", "left")
     return rows.where(F.col("only").isNull() | (F.col("only") == F.col("company_id"))).select(*hits.columns)
+
+
+def of_companies(hits: DataFrame, companies: DataFrame, docs: DataFrame, item: str = "doc_id") -> DataFrame:
+    """Hits of queries that name companies (query_id, company_ids), of those companies' documents (``item``, company_id); of other queries, all."""
+    named = companies.where(F.size("company_ids") > 0).select("query_id", "company_ids")
+    rows = hits.join(named, "query_id", "left").join(docs.select(item, "company_id"), item, "left")
+    return rows.where(F.col("company_ids").isNull() | F.array_contains("company_ids", F.coalesce("company_id", F.lit("")))).select(*hits.columns)

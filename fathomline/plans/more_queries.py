@@ -9,12 +9,13 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import tokens
 from ..operators import finance, lexical, vector, versioning
+from . import expansion
 from . import ingest as ingestion
 from . import retrieval
 from .catalog import Tables, query
 from .ops_queries import _ST, statements
-from .retrieval_queries import _RANK, _bm25_sql, terms
-from .text_queries import WORDS
+from .retrieval_queries import _RANK, _bm25_sql, entries, terms, tickers
+from .text_queries import WORDS, questions
 
 
 @query(f"""with {_ST}, l as (select company, max(year) as year, arg_max(revenue, year) as revenue from st group by company)
@@ -77,6 +78,19 @@ def lsh_knn(t: Tables) -> DataFrame:
     return vector.lsh_nearest(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), 10)
 
 
+def _expanded(t: Tables) -> DataFrame:
+    e = entries(t)
+    short = t.part.groupBy(F.substring("p_brand", 1, 3).alias("abbreviation")).agg(F.min("p_type").alias("expansion"), F.min("p_brand").alias("metric_id"), F.min("p_partkey").alias("seq"))
+    mapped = e.select("surface_form", F.col("canonical_id").alias("concept"), F.lit("custom").alias("taxonomy"), F.col("canonical_label").alias("label"), "confidence")
+    return expansion.expanded(questions(t).select(F.col("question_id").alias("query_id"), "text"), e, tickers(t), short, mapped)
+
+
+@query()
+def expand_full(t: Tables) -> DataFrame:
+    """All questions with companies, periods and further terms; tests hold the steps against brute force."""
+    return _expanded(t)
+
+
 @query()
 def answer_questions(t: Tables) -> DataFrame:
     """The whole way from the benchmark's items as questions to explained hits, with hashed word counts as vectors."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fusion, lexical, vector
+from ..operators import fusion, graph, lexical, vector
 from ..sources.scratch import settle
 from . import understanding
 
@@ -37,25 +37,61 @@ def lexical_hits(docs: DataFrame, terms: DataFrame, **how) -> DataFrame:
     return lexical.bm25(docs, terms, **how).withColumnRenamed("doc_id", "item")
 
 
-def answer(questions: DataFrame, docs: DataFrame, vectors: DataFrame, query_vectors: DataFrame, *, k: int = 20) -> DataFrame:
-    """From questions (query_id, text) to explained hits: parse, route, retrieve in two channels, fuse,
-    rerank where the tier asks for it, explain.
+def answer(
+    questions: DataFrame,
+    docs: DataFrame,
+    vectors: DataFrame,
+    query_vectors: DataFrame,
+    *,
+    k: int = 20,
+    expansions: DataFrame | None = None,
+    owners: DataFrame | None = None,
+    edges: DataFrame | None = None,
+) -> DataFrame:
+    """From questions (query_id, text) to explained hits: parse, route, expand, plan, retrieve in two channels,
+    fuse, rerank where the tier asks for it, widen by the graph, explain.
 
     ``vectors`` (item, embedding) and ``query_vectors`` (query_id, embedding) come from one embedding
-    model. Returns ``query_id``, ``item``, ``rank``, ``tier``, ``intent``, ``explanation``.
+    model. ``expansions`` are those of plans.expansion: their terms are searched for, and where they name
+    companies, only documents of these (``owners``: item, company_id) are hits. How deep each channel
+    is read, and whether hits are reranked, is each question's plan. With ``edges``, ``related`` has
+    what the named companies reach in two steps within the plan's zones. Returns ``query_id``,
+    ``item``, ``rank``, ``tier``, ``intent``, ``explanation``, and ``related`` with ``edges``.
     """
-    routed = understanding.routed(understanding.parsed(questions))
-    terms = lexical.query_terms(routed, "query_id", "normalized")
+    plan = understanding.stages(understanding.routed(understanding.parsed(questions)))
+    if expansions is not None:
+        plan = plan.join(expansions.select("query_id", "expanded", "company_ids"), "query_id", "left")
+    plan = settle(plan, "plan")
+    searched = F.col("normalized") if expansions is None else F.coalesce(F.when(F.col("expanded") != "", F.col("expanded")), F.col("normalized"))
+    terms = lexical.query_terms(plan.withColumn("searched", searched), "query_id", "searched")
     lex = lexical_hits(docs, terms)
     both = vectors.select(F.col("item").alias("vec_id"), "embedding")
     asked = query_vectors.select((-F.col("query_id") - 1).alias("vec_id"), "embedding")  # ids that no item has
-    vec = vector.nearest(both, asked, 100).select((-F.col("query_id") - 1).alias("query_id"), F.col("vec_id").alias("item"), "score")
-    hits = settle(fusion.channel(lex, "lexical", "item", "score", 100).unionByName(fusion.channel(vec, "narrative", "item", "score", 100)), "hits")
-    fused = fusion.reciprocal_ranks(hits)
+    depth = vectors.count() if owners is not None and expansions is not None else 200  # a company's hits may lie deep
+    vec = vector.nearest(both, asked, depth).select((-F.col("query_id") - 1).alias("query_id"), F.col("vec_id").alias("item"), "score")
+    if owners is not None and expansions is not None:
+        lex, vec = (lexical.of_companies(h, plan, owners, "item") for h in (lex, vec))
+    hits = fusion.channel(lex, "lexical", "item", "score", 200).unionByName(fusion.channel(vec, "narrative", "item", "score", 200))
+    cut = F.when(F.col("channel") == "lexical", F.col("lexical_k")).otherwise(F.col("semantic_k"))
+    hits = settle(hits.join(plan.select("query_id", "lexical_k", "semantic_k"), "query_id").where(F.col("rank") <= cut).drop("lexical_k", "semantic_k"), "hits")
+    fused = fusion.reciprocal_ranks(hits).join(plan.select("query_id", "fusion_k"), "query_id").where("rank <= fusion_k").drop("fusion_k")
     wanted = terms.select("term").distinct()
     held = lexical.tokenized(docs).select(F.col("doc_id").alias("item"), F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi")
-    final = tiered(fused, routed.select("query_id", "tier"), terms, held, k)
+    final = tiered(fused, plan.select("query_id", "tier"), terms, held, k)
     by = lambda n: F.coalesce(F.max(F.when(F.col("channel") == n, F.col("score"))), F.lit(0.0))
     scores = hits.groupBy("query_id", "item").agg(by("lexical").alias("l"), by("narrative").alias("v"))
-    rows = final.join(scores, ["query_id", "item"]).join(fused.select("query_id", "item", "fused"), ["query_id", "item"]).join(routed.select("query_id", "intent"), "query_id")
-    return rows.select("query_id", "item", "rank", "tier", "intent", fusion.explanation(F.col("l"), F.col("v"), F.col("fused"), F.col("rank")).alias("explanation"))
+    rows = final.join(scores, ["query_id", "item"]).join(fused.select("query_id", "item", "fused"), ["query_id", "item"]).join(plan.select("query_id", "intent"), "query_id")
+    rows = rows.select("query_id", "item", "rank", "tier", "intent", fusion.explanation(F.col("l"), F.col("v"), F.col("fused"), F.col("rank")).alias("explanation"))
+    if edges is None or expansions is None:
+        return rows
+    starts = plan.where("graph_k > 0").select("query_id", F.split("graph_zones", ",").alias("zones"), F.explode("company_ids").alias("start"))
+    near = related(starts.select("start").distinct(), edges)
+    found = starts.join(near, "start").where(F.array_contains("zones", F.col("zone"))).groupBy("query_id").agg(F.sort_array(F.collect_set("node")).alias("related"))
+    return rows.join(found, "query_id", "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
+
+
+def related(starts: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """``start``, ``node``, ``zone``, ``depth``: what many starts reach, with the zone of the edge that first leads there."""
+    reached = settle(graph.traverse(starts.select(F.col("start").alias("node")), edges, depth).where("depth > 0"), "reached")
+    zones = edges.groupBy(F.col("dst").alias("node")).agg(F.min("zone").alias("zone"))
+    return reached.join(zones, "node").select("start", "node", "zone", "depth")

@@ -157,3 +157,29 @@ def test_conditioned_and_reasoning(spark):
     q = understanding.routed(understanding.parsed(spark.createDataFrame([(1, "Compare MSFT vs AAPL"), (2, "Why?"), (3, "hello")], "query_id long, text string")))
     got = {r["query_id"]: (r["intent"], r["tier"]) for r in q.collect()}
     assert got == {1: ("compare", "B"), 2: ("explain", "C"), 3: ("find_evidence", "A")}
+
+
+def test_expansion_and_planned_answers(spark):
+    """A question's terms step by step; hits of the named company alone; what it reaches in the plan's zones."""
+    from fathomline.operators.vector import hashed_embedding
+    from fathomline.functions import text as T
+    from fathomline.plans import expansion, retrieval
+
+    entries = spark.createDataFrame([("e1", "sales", "m:rev", "Revenue", "metric_alias", 0.9), ("e2", "turnover", "m:rev", "Revenue", "metric_alias", 0.8)], "entry_id string, surface_form string, canonical_id string, canonical_label string, entry_type string, confidence double")
+    tickers = spark.createDataFrame([("EPS", "c:1", "Epsilon", ["EPSX"], 1)], "ticker string, canonical_id string, company_name string, variants array<string>, seq int")
+    short = spark.createDataFrame([("EPS", "earnings per share", "m:eps", 1)], "abbreviation string, expansion string, metric_id string, seq int")
+    mapped = spark.createDataFrame([("net sales", "m:rev", "custom", "Revenue", 0.9)], "surface_form string, concept string, taxonomy string, label string, confidence double")
+    asked = spark.createDataFrame([(1, "why did EPS and net sales fall in FY2023"), (2, ""), (3, "plain words")], "query_id long, text string")
+    made = expansion.expanded(asked, entries, tickers, short, mapped)
+    rows = {r["query_id"]: r for r in made.collect()}
+    assert rows[1]["expanded"] == "why did EPS earnings per share and net sales fall in Revenue turnover"
+    assert rows[1]["company_ids"] == ["c:1"] and rows[1]["periods"] == ["FY2023"]
+    assert rows[2]["expanded"] == "" and rows[3]["expanded"] == "plain words" and rows[3]["company_ids"] == []
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["turnover fell", "net sales fell", "plain words here", "turnover rose"])], "doc_id long, text string")
+    owners = spark.createDataFrame([(0, "c:1"), (1, "c:2"), (2, "c:2"), (3, "c:1")], "item long, company_id string")
+    edges = spark.createDataFrame([("c:1", "fact:1", "has_fact", "data"), ("fact:1", "doc:9", "derived_from", "provenance"), ("c:1", "c:3", "competes_with", "entity")], "src string, dst string, edge_type string, zone string")
+    embed = lambda df, i: df.select(F.col(i), hashed_embedding(T.tokens("text")).alias("embedding"))
+    got = retrieval.answer(asked, docs, embed(docs, "doc_id").withColumnRenamed("doc_id", "item"), embed(asked, "query_id"), expansions=made, owners=owners, edges=edges).collect()
+    assert {r["item"] for r in got if r["query_id"] == 1} == {0, 3} and {r["item"] for r in got if r["query_id"] == 3} >= {2}
+    assert {tuple(r["related"]) for r in got if r["query_id"] == 1} == {("c:3", "fact:1")} and {tuple(r["related"]) for r in got if r["query_id"] == 3} == {()}
