@@ -59,6 +59,13 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity_scores(df, labels.limit(0)).count() == 6
 
 
+def test_toxicity_whatever_the_order_of_rows(spark, sf):
+    """The same scores from one partition and from seven, with rows the other way round."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    runs = [{r["id"]: r["score"] for r in toxicity.toxicity_scores(d, k).collect()} for d, k in ((docs.coalesce(1), labels.coalesce(1)), (docs.orderBy(F.desc("doc_id")).repartition(7), labels.repartition(5)))]
+    assert runs[0].keys() == runs[1].keys() and max(abs(runs[0][i] - runs[1][i]) for i in runs[0]) < 1e-6
+
+
 def test_quality_edges(spark):
     df = _edge(spark)
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (3, None)], "doc_id long, quality int")

@@ -51,3 +51,28 @@ def test_pipeline_keeps_the_mixture(spark):
     for slots in range(1, until + 1):
         for s, w in weights.items():
             assert abs(sum(x < slots for x in served[s]) - slots * w) < 1.1
+
+
+def test_pipeline_edges(spark):
+    """Nulls in any column, empty and long texts, repeated ids and rows, clashing names; and an empty table."""
+    import random
+
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    prose = lambda n: " ".join("".join(rnd.choice("aeinorstlu") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    a, b, long = prose(120), prose(150), prose(30_000)
+    rows = [(1, a, "x"), (2, b, None), (2, long, "y"), (3, a, "x"), (2, b, None), (4, None, "x"), (5, "", "x"), (None, prose(90), None), (6, prose(80), "z")]
+    docs = spark.createDataFrame([(i, t, s, len(t or ""), "en", 7, 8, "k") for i, t, s in rows], "doc_id long, text string, source string, n_chars long, lang string, id long, slot int, mark string")
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, "").cache()
+            assert kept.columns == docs.columns, name
+        last = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
+        want = sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect())
+        assert len(last) == len(want)
+    full = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        full = stage(spark, full, "")
+    assert sorted((r["doc_id"] or -1, len(r["text"])) for r in full.collect()) == sorted([(1, len(a)), (2, len(b)), (2, len(long)), (-1, len(rows[7][1])), (6, len(rows[8][1]))])

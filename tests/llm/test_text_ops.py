@@ -79,6 +79,49 @@ def test_quality_rules(spark):
     assert quality_rules.quality_report(df.limit(0)).count() == 0 and quality_rules.keep_good(df.limit(0)).count() == 0
 
 
+def test_quality_verdict_by_brute_force(spark):
+    """The limits from quartiles of the corpus itself, one text after another."""
+    import zstandard
+
+    rnd = random.Random(12)
+    prose = lambda n: " ".join("".join(rnd.choice("aeinorstlu") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    rows = [(i, prose(rnd.choice([15, 60, 200, 1200]))) for i in range(400)]
+    rows += [(1000 + i, " ".join(rnd.choice(["ba", "bo"]) + rnd.choice("xyz") * 3 + rnd.choice("qwertz") for _ in range(300))) for i in range(20)]
+    rows += [(2000, rows[0][1]), (2001, None), (2002, "é" * 40 + " ünö" * 30)]
+    bands, pack = quality_rules.BANDS, zstandard.ZstdCompressor(level=3).compress
+    got = {r["id"]: r for r in quality_rules.quality_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, chunks, sizes = set(), set(), {}
+    for i, t in rows:
+        if got[i]["base_failed"]:
+            continue
+        n, script, ratio, parts = sizes[i] = quality_rules.measures((t or "").encode(), pack)
+        seen.add((script, int(2 * math.log2(n + 1)), n, ratio))
+        chunks |= {(script, m, n) for m in parts}
+
+    def limits(counts):
+        out = {}
+        for c in {c for c, _ in counts}:
+            taken = []
+            for k in sorted({k for k, _ in counts}, key=lambda k: (abs(k - c), k)):
+                if len(taken) >= bands.least:
+                    break
+                taken += [m for x, m in counts if x == k]
+            taken.sort()
+            low, mid, high = (next(m for j, m in enumerate(taken, 1) if j >= q * len(taken)) for q in (0.25, 0.5, 0.75))
+            out[c] = int(min(low - 2 * (high - low), mid - 40)), int(max(high + 2 * (high - low), mid + 40))
+        return out
+
+    texts = [limits([(c, r) for s, c, _, r in seen if s == k]) for k in range(3)]
+    parts = limits([(s, m) for s, m, _ in chunks])
+    for i, (n, script, ratio, own) in sizes.items():
+        low, high = texts[script][int(2 * math.log2(n + 1))]
+        fixed = [x[1:] for x in bands.whole if n >= x[0]][-1]
+        out = sum(not max(parts[script][0], 250) <= m <= min(parts[script][1], 680) for m in own)
+        assert got[i]["n_chunks_outside"] == out and got[i]["n_chunks"] == len(own)
+        assert got[i]["kept"] == (max(low, 1000 * fixed[0]) <= ratio <= min(high, 1000 * fixed[1]) and out <= 0.25 * len(own)), (i, n, ratio)
+    assert sum(not got[1000 + i]["kept"] for i in range(20)) >= 15 and sum(not got[i]["kept"] for i in range(400)) <= 8
+
+
 def test_escapes():
     rnd = random.Random(2)
     for _ in range(3000):
@@ -121,6 +164,14 @@ def test_parts_have_the_tokens_of_the_whole(spark):
     assert ids(100) == ids(10**9)
 
 
+def test_one_turn_longer_than_a_part(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "long words " * 900), (1, 2, "user", "x" * 5000), (1, 3, "assistant", "ok"), (2, 0, "assistant", "<|im_end|>" * 300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    path = P.path("byte_bpe_50k.json")
+    found = [sorted(map(tuple, chat.read_back(chat.format_conversations(df, path, part_chars=n), path).collect())) for n in (100, 10**9)]
+    assert found[0] == found[1] and found[0][0][1] == 4 and found[0][1][3] == 3000
+
+
 def page_rows():
     html = ["<p>one</p>", "", None, "<p>one</p>", "é" * 3000, "<p>one</p>", "x" * 200_000] + [f"<html>{k} {'common text ' * 20}</html>" for k in range(200)]
     return [(k * 7 % 1009, f"http://a/{k}\r\nX: y" if k % 5 else None, h) for k, h in enumerate(html)]
