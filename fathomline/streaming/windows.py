@@ -1,6 +1,6 @@
 """Event-time windows over a log, the same for a batch and a stream.
 
-The reference has no streams; this is an extension, held against the batch result in tests.
+An extension: there are no streams to match, so it is held against the batch result in tests.
 """
 
 from __future__ import annotations
