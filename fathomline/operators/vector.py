@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import settle
 from .ranking import top_k
 
 #: Vectors in one block: a task holds a block of rows, a block of queries and their scores.
 BLOCK = 1024
+#: Bytes of query blocks that are broadcast at most; more of them meet the rows' blocks by their numbers.
+BROADCAST_BYTES = 64 << 20
 
 
 def _blocks(df: DataFrame, ids: str, matrix: str) -> DataFrame:
@@ -53,9 +56,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     ``k`` of each query leave the task. ``metric``: cosine, dot or euclid (the negative distance).
     Ties at six decimals go to the lesser id.
     """
-    a = _blocks(queries.select(F.col(id_col).cast("long"), F.col(vector_col)), "q_ids", "q")
+    a = settle(_blocks(queries.select(F.col(id_col).cast("long"), F.col(vector_col)), "q_ids", "q"), "query-blocks")
     b = _blocks(vectors.select(F.col(id_col).cast("long"), F.col(vector_col)), "ids", "x")
-    pairs = b.crossJoin(a)  # blocks of a stated query set against blocks of all rows
+    size = a.agg(F.count("*").alias("n"), F.sum(F.octet_length("q")).alias("bytes")).first()
+    if (size["bytes"] or 0) <= BROADCAST_BYTES:
+        pairs = b.crossJoin(F.broadcast(a))  # blocks of a stated query set, of a checked size, against blocks of all rows
+    else:
+        parts = -(-size["bytes"] // BROADCAST_BYTES)
+        numbered = a.withColumn("part", F.pmod(F.xxhash64("q_ids"), F.lit(parts)))
+        pairs = b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(numbered, "part").drop("part")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -62,9 +62,10 @@ def read_statements(spark: SparkSession, path: str, company_id: str) -> DataFram
 
 
 def read_metrics_csv(spark: SparkSession, path: str, company_id: str, metrics: list[str]) -> DataFrame:
-    """A file of (period, metric, value) as one row for each period that has revenue; numbers that can't be read are skipped."""
-    rows = read_csv(spark, path, ["period", "metric", "value"]).withColumn("value", F.col("value").try_cast("double")).where("value is not null")
-    wide = rows.groupBy("period").pivot("metric", metrics).agg(F.last("value")).where("revenue is not null")
+    """A file of (period, metric, value) as one row for each period that has revenue; numbers that can't be read are skipped, and of a metric's values for a period the last in the file holds."""
+    rows = read_csv(spark, path, ["period", "metric", "value"]).withColumn("seq", F.monotonically_increasing_id())  # in the order of the file
+    rows = rows.withColumn("value", F.col("value").try_cast("double")).where("value is not null")
+    wide = rows.groupBy("period").pivot("metric", metrics).agg(F.max_by("value", "seq")).where("revenue is not null")
     return wide.select(F.lit(company_id).alias("company_id"), "*")
 
 

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,14 @@ def test_nearest(spark):
         assert [got[q, k + 1] for k in range(4)] == [i for _, i in best]
 
 
+def test_nearest_with_too_many_queries_to_broadcast(spark, monkeypatch):
+    rnd = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, rnd.standard_normal(8).tolist()) for i in range(60)], "vec_id long, embedding array<double>").repartition(3)
+    want = sorted(map(tuple, vector.nearest(df, df.where("vec_id % 3 = 0"), 5).collect()))
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", 300)
+    assert sorted(map(tuple, vector.nearest(df, df.where("vec_id % 3 = 0"), 5).collect())) == want and len(want) == 100
+
+
 @pytest.mark.parametrize("n", [1, 20, 21, 100, 101, 250])
 def test_nearest_rank(spark, n):
     values = [float(i * 37 % 101) for i in range(n)]
