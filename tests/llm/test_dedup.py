@@ -129,6 +129,13 @@ def test_pipeline_stage_drops_near_copies(spark):
     print(len(near), len(near & kept))
 
 
+def test_settings_of_the_session_stay(spark):
+    before = dict(spark.conf.getAll)
+    simhash.drop_near_duplicates(docs(spark, [(1, "a b c"), (2, "a b c")])).collect()
+    after = {k: v for k, v in spark.conf.getAll.items() if before.get(k) != v}
+    assert after in ({}, {"spark.sql.execution.arrow.maxBytesPerBatch": spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")}) and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(500).select((F.col("id") * 3 % 500).alias("a"), ((F.col("id") * 3 + 3) % 500).alias("b"))
     got = connected_components(edges, "a", "b")
