@@ -126,10 +126,10 @@ def limits(counts: list[tuple[int, int, int]], bands: Bands = BANDS) -> dict[int
     return out
 
 
-def _judged(found: DataFrame, bands: Bands) -> DataFrame:
-    """The settled rows of ``_measured`` with ``_kept`` and ``_outside``."""
+def _judged(rows: DataFrame, found: DataFrame, bands: Bands) -> DataFrame:
+    """``rows`` of ``_measured`` with ``_kept`` and ``_outside``, by the limits from the settled measures ``found``."""
     kind = F.floor(2 * F.log2(F.col("_n_bytes") + 1)).cast("int")
-    found = found.withColumn("_class", 1000 * F.col("_script") + kind)
+    rows, found = (df.withColumn("_class", 1000 * F.col("_script") + kind) for df in (rows, found))
     # Copies have one length and measure, and count once. Classes times thousandths come to the driver.
     good = found.where("not _base_failed")
     whole = good.select("_class", "_n_bytes", "_ratio").distinct().groupBy("_class", "_ratio").agg(F.count("*").alias("n")).collect()
@@ -138,7 +138,7 @@ def _judged(found: DataFrame, bands: Bands) -> DataFrame:
     by_script = [limits([tuple(r) for r in whole if r[0] // 1000 == k], bands) for k in range(3)]
     of_text = spark.createDataFrame([(c, *x) for one in by_script for c, x in one.items()], "_class int, _low int, _high int")
     of_chunk = spark.createDataFrame([(c, *x) for k in range(3) for c, x in limits([tuple(r) for r in parts if r[0] == k], bands).items()], "_script int, _chunk_low int, _chunk_high int")
-    rows = found.join(F.broadcast(of_text), "_class", "left").join(F.broadcast(of_chunk), "_script", "left")
+    rows = rows.join(F.broadcast(of_text), "_class", "left").join(F.broadcast(of_chunk), "_script", "left")
     fixed = lambda k: F.coalesce(*[F.when(F.col("_n_bytes") >= x[0], F.lit(round(1000 * x[k]))) for x in reversed(bands.whole)])
     low, high = F.greatest("_low", fixed(1)), F.least("_high", fixed(2))  # nulls count for nothing
     chunk_low, chunk_high = F.greatest("_chunk_low", F.lit(round(1000 * bands.chunk[0]))), F.least("_chunk_high", F.lit(round(1000 * bands.chunk[1])))
@@ -157,7 +157,7 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = settle(_measured(rows, "text", bands).drop("c1"), "measures")
-    rows = _judged(found, bands)
+    rows = _judged(found, found, bands)
     return rows.select(F.col("c0").alias("id"), *[F.col(f"_{c}").alias(c) for c in STATS], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), (F.col("_ratio") / 1000).alias("ratio"), F.size("_chunks").cast("long").alias("n_chunks"), F.col("_outside").alias("n_chunks_outside"))
 
 
@@ -167,5 +167,6 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", bands: Bands = BANDS)
     Null and empty texts fail the base rules and go; repeated rows go or stay together. An empty table
     gives an empty result.
     """
-    found = settle(_measured(docs, text_col, bands), "measured")
-    return _judged(found, bands).where("_kept").select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
+    # Texts are measured again where they are kept: a table of measured texts would be as large as the input.
+    found = settle(_measured(docs.select(F.col(text_col).alias("text")), "text", bands).drop("c0"), "measures")
+    return _judged(_measured(docs, text_col, bands), found, bands).where("_kept").select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
