@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity, warc
+from . import ann, bpe, chat, embedding_dedup, hard_negatives, mixing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity, warc, whitening
 
 RANKS, CHAT_TOKENIZER = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -69,7 +69,23 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
-QUERIES = (op1_toxicity, op2_chat_formatting, op3_quality_rules, op4_substring_dedup, op5_simhash_near_dedup, op6_byte_level_bpe, op7_source_mixing, op8_quality_classifier, op9_warc, op10_embedding_near_dedup)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", turned.alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    found = ann.nearest_neighbours(rows, rows.where("vec_id % 100 = 0"), 10)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = (op1_toxicity, op2_chat_formatting, op3_quality_rules, op4_substring_dedup, op5_simhash_near_dedup, op6_byte_level_bpe, op7_source_mixing, op8_quality_classifier, op9_warc, op10_embedding_near_dedup, op11_hard_negatives, op12_ann_search, op13_whitening)
 
 
 def queries() -> dict:
@@ -86,9 +102,18 @@ select conv_id, n_turns, sha256(said) as turns_sha256, length(loss) as loss_char
 _OP10 = """with recursive v as (select vec_id, embedding::double[] as e from embeddings), p as (select a.vec_id as a, b.vec_id as b from v a, v b where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
 r as (select vec_id as node, vec_id as other from v union select r.node, p.b from r join p on r.other = p.a), n as (select a, count(*) as n from p group by a)
 select node as vec_id, coalesce(max(n), 0) as n_links, min(other) as component_id, node = min(other) as kept from r left join n on a = node group by node"""
-ORACLES = {"op2_chat_formatting": _OP2, "op10_embedding_near_dedup": _OP10}
+_OP11 = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: floor(256 * c::double)) as x from embeddings where label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda c: c is not null and isfinite(c)))),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::integer as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score qualify rank <= 10"""
+#: By brute force: the operator's recall is measured against this on larger tables.
+_OP12 = """with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and list_bool_and(list_transform(embedding, lambda c: c is not null and isfinite(c))) and list_bool_or(list_transform(embedding, lambda c: c <> 0))),
+d as (select a.vec_id as query_id, b.vec_id, sqrt(list_reduce(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0)
+select query_id, row_number() over (partition by query_id order by score, vec_id)::integer as rank, vec_id, score from d qualify rank <= 10"""
+ORACLES = {"op2_chat_formatting": _OP2, "op10_embedding_near_dedup": _OP10, "op11_hard_negatives": _OP11, "op12_ann_search": _OP12}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Of the ten, those whose rows SQL can express; tests hold the others against brute force."""
+    """Of these queries, those whose rows SQL can express; tests hold the others against brute force."""
     return dict(ORACLES)
