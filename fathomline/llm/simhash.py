@@ -1,6 +1,6 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-The 64 bit positions get labels, the vectors 1 .. 2^(r+1) - 1 of r + 1 bits, in turn. Table v keeps
+The 64 bit positions get labels, the vectors 1 .. 2^(r+1) - 1 of r + 1 bits, one after another. Table v keeps
 the bits whose label has an odd inner product with v. Any r labels have a common v that is
 orthogonal to all of them, so two fingerprints that differ in at most r bits agree in table v: no
 pair within the radius is missed. Members of a bucket are compared with each other; a bucket with too
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,19 @@ SEED = 42
 BLOCK = 1 << 16
 #: Members of a bucket that are compared at once; buckets with more are cut by further masks.
 BUCKET = 2048
+#: Open bits of a mask that no longer is cut: 2^OPEN fingerprints at most are in its buckets.
+OPEN = 11
 
 
+@lru_cache(maxsize=1 << 14)
 def covering_masks(radius: int, free: int = (1 << 64) - 1) -> list[int]:
-    """One mask of kept bits, out of the ``free`` ones, for each of the 2^(radius+1) - 1 tables."""
+    """One mask of kept bits, out of the ``free`` ones, for each of the 2^(radius+1) - 1 tables.
+
+    Labels that span all others come first, so that each mask keeps a bit of more than ``radius`` free ones.
+    """
     size = (1 << radius + 1) - 1
-    labels = {b: i % size + 1 for i, b in enumerate(b for b in range(64) if free >> b & 1)}
+    order = sorted(range(1, size + 1), key=lambda x: (x.bit_count() > 1, x))
+    labels = {b: order[i % size] for i, b in enumerate(b for b in range(64) if free >> b & 1)}
     return [sum(1 << b for b, label in labels.items() if (label & v).bit_count() % 2) for v in range(1, size + 1)]
 
 
@@ -96,11 +104,11 @@ def tree(bits: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
 
 
 def _compared(members: DataFrame, radius: int) -> DataFrame:
-    """Edges ``(bits, other)`` within each bucket ``(table, key)``; its members arrive sorted, as a stream."""
+    """Edges ``(bits, other)`` within each bucket ``(closed, key)``; its members arrive sorted, as a stream."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ("table", "key")):
-            ends, bits = group_ends(table, ("table", "key")), table["bits"].to_numpy().view(np.uint64)
+        for table in whole_groups(batches, ("closed", "key")):
+            ends, bits = group_ends(table, ("closed", "key")), table["bits"].to_numpy().view(np.uint64)
             sizes, left, right = np.diff(ends), [], []
             two = ends[:-1][sizes == 2]
             two = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= radius]
@@ -111,37 +119,45 @@ def _compared(members: DataFrame, radius: int) -> DataFrame:
             a, b = (np.concatenate((two + d, np.array(x, np.int64))) for d, x in ((0, left), (1, right)))
             yield pa.RecordBatch.from_arrays([pa.array(bits[a].view(np.int64)), pa.array(bits[b].view(np.int64))], ["bits", "other"])
 
-    return members.repartition("table", "key").sortWithinPartitions("table", "key", "bits").mapInArrow(each, "bits long, other long")
+    return members.repartition("closed", "key").sortWithinPartitions("closed", "key", "bits").mapInArrow(each, "bits long, other long")
+
+
+def _cut(rows: DataFrame, radius: int) -> DataFrame:
+    """``bits``, ``closed``, ``key`` for each row and each further mask over the bits that its own mask ``closed`` leaves open."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 4096):
+            bits, closed = (b.column(c).to_numpy().view(np.uint64) for c in ("bits", "closed"))
+            for k in np.unique(closed).tolist():
+                own = bits[closed == np.uint64(k)]
+                for m in covering_masks(radius, ~k & (1 << 64) - 1):
+                    wide = np.full(len(own), k | m, np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (own, wide, own & wide)], ["bits", "closed", "key"])
+
+    return rows.mapInArrow(each, "bits long, closed long, key long")
 
 
 def near_links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     """Edges ``(bits, other)`` that connect the distinct fingerprints within ``radius`` bits, all of them true links.
 
     A fingerprint alone in its bucket goes no further. The members of a bucket of up to ``bucket`` are
-    compared with each other. Those of a larger one are spread over the buckets of further tables, by
-    masks over the bits that its table leaves open: those buckets have fewer open bits, and distinct
-    fingerprints are at most two to the power of these, so the cuts end. Edges grow with the members,
-    not with their pairs.
+    compared with each other. Those of a larger one carry its mask and are spread over the buckets of
+    further masks over the bits that it leaves open. Each cut closes a bit at least (half of the open
+    ones on average), and ``OPEN`` open bits tell at most ``BUCKET`` fingerprints apart, so the cuts
+    end; no plan grows with them. Edges grow with the members, not with their pairs.
     """
-    masks, rows, parts = [(1 << 64) - 1], nodes.select("bits", F.lit(0).alias("table")), []
-    closed = [0]
+    first = F.array(*[F.lit(_signed(m)).cast("long") for m in covering_masks(radius)])
+    keyed = nodes.select("bits", F.explode(first).alias("closed")).withColumn("key", F.col("bits").bitwiseAND(F.col("closed")))
+    parts = []
     while True:
-        wider = [[k | m for m in covering_masks(radius, masks[i])] for i, k in enumerate(closed)]
-        each = len(wider[0])
-        of = F.array(*[F.array(*[F.lit(_signed(k)).cast("long") for k in ks]) for ks in wider])
-        keyed = rows.select("bits", (F.col("table") * each).alias("first"), F.posexplode(F.element_at(of, F.col("table") + 1)).alias("n", "mask"))
-        keyed = keyed.select("bits", (F.col("first") + F.col("n")).alias("table"), F.col("bits").bitwiseAND(F.col("mask")).alias("key"))
-        sizes = settle(keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")  # so that the join can split a hot bucket
-        members = keyed.join(sizes, ["table", "key"])
-        closed = [k for ks in wider for k in ks]
-        masks = [(1 << 64) - 1 & ~k for k in closed]
-        many = F.col("n") > max(bucket, 2)
-        parts.append(_compared(members.where(~many).select("table", "key", "bits"), radius))
+        sizes = settle(keyed.groupBy("closed", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")  # so that the join can split a hot bucket
+        many = (F.col("n") > bucket) & (64 - F.bit_count("closed") > max(OPEN, radius))
+        members = keyed.join(sizes, ["closed", "key"])
+        parts.append(_compared(members.where(~many).select("closed", "key", "bits"), radius))
         if sizes.where(many).isEmpty():
             break
-        rows = settle(members.where(many).select("bits", "table"), "members")
-        if not any(masks):
-            raise RuntimeError("distinct fingerprints that no bit parts")
+        rows = settle(members.where(many).select("bits", "closed").distinct(), "members")
+        keyed = _cut(rows, radius).distinct()  # two masks may have one union
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)

@@ -97,6 +97,20 @@ def test_near_links_are_all_true_and_enough(spark):
         assert joined(got, signed) == joined(near, signed)
 
 
+def test_near_links_of_a_dense_bucket(spark):
+    """5,000 fingerprints that agree in 51 bits: one bucket of the masks that close few others."""
+    rnd = random.Random(8)
+    base, places = rnd.getrandbits(64), rnd.sample(range(64), 16)
+    bits = {base ^ sum(1 << p for k, p in enumerate(places) if x >> k & 1) for x in rnd.sample(range(1 << 16), 5000)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in bits]
+    got = [tuple(r) for r in simhash.near_links(spark.createDataFrame([(x,) for x in signed], "bits long"), 2, 512).collect()]
+    every, near = np.array(signed, np.int64), []
+    for k, x in enumerate(signed):
+        near += [(x, int(y)) for y in every[k + 1 :][np.bitwise_count((every[k + 1 :] ^ x).view(np.uint64)) <= 2]]
+    assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2 for a, b in got)
+    assert joined(got, signed) == joined(near, signed)
+
+
 def test_drop_near_duplicates(spark):
     text = " ".join(words(random.Random(2), 50))
     rows = [(4, text), (9, text), (4, text), (7, "quite another text of eight words it is"), (None, text), (11, "")]
