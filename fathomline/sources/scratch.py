@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,32 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Lists that take note of the tables written meanwhile.
+_notes: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders of all tables that are settled meanwhile, for drop() when nothing reads them any more."""
+    made: list[str] = []
+    _notes.append(made)
+    try:
+        yield made
+    finally:
+        _notes[:] = [n for n in _notes if n is not made]
+
+
+def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete settled tables, wherever Spark can write; a DataFrame that still reads one fails."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: a lost executor costs the tasks that read it, nothing above."""
     path = f"{shared_root(df.sparkSession)}/fathomline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _notes:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
