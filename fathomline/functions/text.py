@@ -25,6 +25,16 @@ SUFFIXES = (
     ("ment", ""), ("able", ""), ("ible", ""), ("ally", "al"), ("ting", "t"), ("ing", ""), ("ied", "y"), ("ies", "y"), ("ely", "e"),
     ("ed", ""), ("ly", ""), ("er", ""), ("es", ""), ("s", ""),
 )
+#: English words that a search leaves out.
+STOP_WORDS = [
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "below",
+    "between", "both", "but", "by", "can", "did", "do", "does", "doing", "don", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have",
+    "having", "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just", "me",
+    "more", "most", "my", "myself", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "ours", "ourselves", "out", "over",
+    "own", "s", "same", "she", "should", "so", "some", "such", "t", "than", "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these",
+    "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who",
+    "whom", "why", "will", "with", "you", "your", "yours", "yourself", "yourselves",
+]
 #: Abbreviations that are identifiers and aren't stemmed.
 ABBREVIATIONS = [
     "EPS", "FCF", "EBITDA", "EBIT", "ROE", "ROA", "ROIC", "ROI", "P/E", "PE", "P/B", "PB", "P/S", "PS", "EV", "DCF",

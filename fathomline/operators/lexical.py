@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import settle
 from .ranking import top_k
 
 K1, B = 1.2, 0.75
@@ -48,13 +49,22 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str, first: int | Non
 def bm25(docs: DataFrame, terms: DataFrame, *, mode: str = "or", id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """``query_id``, ``doc_id``, ``score`` for each document with a term of a query; with ``and``, all of its terms.
 
-    Only the postings of query terms are kept, before any shuffle where the terms are few enough for
-    Spark to broadcast; document length and number come from one pass that moves no text.
+    Texts are tokenised once: the postings of query terms, and a row with each document's length, are kept
+    as a table, before any shuffle where the terms are few enough for Spark to broadcast. A
+    collection that is asked again and again is better kept as an index (operators.text_index).
     """
     rows = tokenized(docs, id_col, text_col)
-    wanted = terms.select("term").distinct()
-    hits = rows.select("doc_id", "doc_len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-    whole = rows.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("mean_len"))
+    spots = F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit("")))  # no token is empty: that is the document's own row
+    wanted = terms.select("term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term")))
+    found = rows.select("doc_id", "doc_len", F.explode(spots).alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"), F.sum("doc_len").alias("all_len"))
+    found = settle(found, "hits")
+    own = found.where("term = ''")
+    whole = own.agg(F.sum("tf").alias("n_docs"), (F.sum("all_len") / F.sum(F.when(F.col("doc_len").isNotNull(), F.col("tf")))).alias("mean_len"))
+    return bm25_of(found.where("term <> ''").drop("all_len"), whole, terms, mode=mode, k1=k1, b=b)
+
+
+def bm25_of(hits: DataFrame, whole: DataFrame, terms: DataFrame, *, mode: str = "or", k1: float = K1, b: float = B) -> DataFrame:
+    """Scores of hits (term, doc_id, tf, doc_len), all of them for each term, in a collection with totals ``whole`` (n_docs, mean_len)."""
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = hits.join(frequency, "term").crossJoin(F.broadcast(whole))  # one row of totals
     tf, part = F.col("tf"), F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("mean_len"))
