@@ -110,13 +110,23 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """``node``, ``label`` after ``rounds`` steps: the commonest label among neighbours, the least on ties."""
+    """``node``, ``label`` after ``rounds`` steps: the commonest label among neighbours, the least on ties.
+
+    It ends earlier where labels stay, or swing between two states; then the state that the last round
+    would have is returned.
+    """
     both = settle(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))).where("u != v"), "both")
-    labels = both.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
-    for _ in range(rounds):
+    labels, before = both.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct(), None
+    for step in range(1, rounds + 1):
         votes = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("u").agg(F.max("n").alias("n"))
-        labels = settle(votes.join(best, ["u", "n"]).groupBy("u").agg(F.min("label").alias("label")).withColumnRenamed("u", "node"), "labels")
+        now = settle(votes.join(best, ["u", "n"]).groupBy("u").agg(F.min("label").alias("label")).withColumnRenamed("u", "node"), "labels")
+        same = lambda other: now.join(other.withColumnRenamed("label", "was"), "node").where("label != was").isEmpty()  # noqa: E731, B023
+        if step < rounds and same(labels):
+            return now
+        if step < rounds and before is not None and same(before):
+            return now if (rounds - step) % 2 == 0 else labels
+        before, labels = labels, now
     return labels
 
 

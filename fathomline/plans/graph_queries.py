@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import key
-from ..operators import graph, ranking
+from ..operators import communities, graph, ranking
 from ..sources.scratch import settle
 from .catalog import Tables, query
 
@@ -167,6 +167,12 @@ def label_propagation(t: Tables) -> DataFrame:
     return graph.label_propagation(_part_edges(t), 4)
 
 
+@query()
+def louvain_communities(t: Tables) -> DataFrame:
+    """Tests hold the modularity against a plain run on small graphs."""
+    return communities.louvain(_part_edges(t))
+
+
 @query(f"with {_NODES} select node, zone || ':' || node_type as label, 'new' as origin from nodes where node_type = 'sector' union all select node, label, 'old' from nodes where node_type <> 'sector' and node_type in ('industry', 'company')")
 def merge_nodes(t: Tables) -> DataFrame:
     """Nodes with properties, of which those of one kind come again with new labels."""
