@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settle
-from .ranking import top_k
+from .ranking import ranked, top_k
 
 #: Node and edge types of each zone.
 ZONES = {
@@ -59,6 +61,75 @@ def traverse(starts: DataFrame, edges: DataFrame, depth: int, *, edge_types: lis
     return seen
 
 
+def walk(starts: DataFrame, edges: DataFrame, depth: int, *, edge_types: list[str] | None = None) -> DataFrame:
+    """``start``, ``node``, ``depth``, ``edge_zone``, ``path``: what each start reaches by out-edges, and one way there.
+
+    ``starts`` has ``start`` (any name of the walk), ``node`` and, if walks differ in it, ``zones``, the
+    zones of edges that the walk may use (null: all). A node is reached at its least depth; of several
+    shortest ways the path (an array of nodes) is the least. Many walks share each step's join; what
+    a walk has seen is left out, so the rows are at most the pairs reached.
+    """
+    if edge_types:
+        edges = edges.where(F.col("edge_type").isin(edge_types))
+    zones = F.col("zones") if "zones" in starts.columns else F.lit(None).cast("array<string>")
+    first = starts.select("start", "node", zones.alias("zones"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("edge_zone"), F.array("node").alias("path"))
+    seen = front = settle(first.dropDuplicates(["start", "node"]), "frontier")
+    out = edges.select(F.col("src").alias("node"), "dst", F.col("zone").alias("via")).distinct()
+    for step in range(1, depth + 1):
+        met = front.join(out, "node").where(F.col("zones").isNull() | F.array_contains("zones", F.col("via")))
+        found = met.groupBy("start", F.col("dst").alias("node")).agg(F.min(F.struct(F.concat("path", F.array("dst")).alias("path"), F.col("via").alias("edge_zone"))).alias("way"), F.first("zones").alias("zones"))
+        found = found.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        front = settle(found.select("start", "node", "zones", F.lit(step).cast("long").alias("depth"), "way.edge_zone", "way.path"), "frontier")
+        seen = seen.unionByName(front)
+    return seen.drop("zones")
+
+
+class Expansion(NamedTuple):
+    """``nodes`` (start, node, depth, path and the node's columns), ``edges`` (start, depth and the edge's columns), ``paths`` (start, path), ``texts`` (start, node, text)."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    paths: DataFrame
+    texts: DataFrame
+
+    def zone(self, name: str) -> DataFrame:
+        """Nodes of one zone: entities, facts (data), claims (knowledge) or provenance."""
+        return self.nodes.where(F.col("zone") == name)
+
+
+def expand(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, *, edge_types: list[str] | None = None) -> Expansion:
+    """What walk() reaches, with the edges of every node that is walked on from, and paths of full depth.
+
+    ``nodes`` is (node, zone, node_type, label, props); reached nodes without a row there have no row.
+    Facts give a text of their metric, period and value, where they have a metric and a value; claims
+    their label. Edges are those that the walk may use.
+    """
+    reached = settle(walk(starts, edges, depth, edge_types=edge_types), "reached")
+    known = settle(reached.drop("edge_zone").join(nodes, "node"), "expanded")
+    usable = edges.where(F.col("edge_type").isin(edge_types)) if edge_types else edges
+    walked = reached.where(F.col("depth") < depth).select("start", "depth", F.col("node").alias("src")).join(usable, "src")
+    if "zones" in starts.columns:
+        walked = walked.join(starts.select("start", "zones").distinct(), "start").where(F.col("zones").isNull() | F.array_contains("zones", F.col("zone"))).drop("zones")
+    get = lambda k: F.element_at("props", F.lit(k))
+    fact = F.concat(F.lit("Metric="), get("metric"), F.lit("; Period="), F.coalesce(get("period"), F.lit("")), F.lit("; Value="), get("value"))
+    told = F.when((F.col("zone") == "data") & (get("metric") != "") & (get("value") != ""), fact).when(F.col("zone") == "knowledge", F.col("label"))
+    texts = known.select("start", "node", told.alias("text")).where("text is not null")
+    return Expansion(known, walked, reached.where(F.col("depth") == depth).select("start", "path"), texts)
+
+
+def provenance(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """The provenance chain of each start (``node``): ``start``, ``node``, ``depth``, ``path`` and the node's columns, by the edges of that zone alone."""
+    rows = starts.select(F.col("node").alias("start"), "node", F.array(F.lit("provenance")).alias("zones"))
+    return expand(rows, nodes, edges, depth).nodes
+
+
+def induced(nodes: DataFrame, edges: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of a zone, and the edges both of whose ends are among them, whatever the edges' own zone."""
+    kept = nodes.where(F.col("zone") == zone)
+    ends = kept.select("node").distinct()
+    return kept, edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
 def paths(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """``start``, ``node``, ``path`` of ``depth`` edges (text, nodes joined by ``>``), each walk once."""
     rows = starts.select(F.col("node").alias("start"), "node", F.col("node").alias("path"))
@@ -151,6 +222,21 @@ def community_summary(nodes: DataFrame, edges: DataFrame, labels: DataFrame, top
     return size.join(count, "label", "left").join(best, "label", "left").select("label", "size", F.coalesce("edges_inside", F.lit(0)).alias("edges_inside"), "key_nodes")
 
 
+def community_report(nodes: DataFrame, edges: DataFrame, labels: DataFrame, first: int = 10) -> DataFrame:
+    """``label``, ``part``, ``kind``, ``n``, ``names``: for each community its node types with their ``first`` labels, and its edge types, by falling count (``rank``).
+
+    ``part`` is node or edge; edges count inside a community. Names are cut by rank before they are gathered.
+    """
+    own = nodes.join(labels, nodes["node"] == labels["node"]).select(labels["label"].alias("community"), nodes["node_type"].alias("kind"), nodes["label"].alias("name"))
+    counts = own.groupBy("community", "kind").agg(F.count("*").alias("n"))
+    named = top_k(own.select("community", "kind", "name").distinct(), ["community", "kind"], [F.asc("name")], first)
+    named = named.groupBy("community", "kind").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+    a, b = labels.toDF("src", "la"), labels.toDF("dst", "lb")
+    inside = edges.join(a, "src").join(b, "dst").where("la = lb").groupBy(F.col("la").alias("community"), F.col("edge_type").alias("kind")).agg(F.count("*").alias("n"))
+    rows = counts.join(named, ["community", "kind"], "left").withColumn("part", F.lit("node")).unionByName(inside.withColumns({"names": F.lit(None).cast("string"), "part": F.lit("edge")}))
+    return ranked(rows, ["community", "part"], [F.desc("n"), F.asc("kind")]).select(F.col("community").alias("label"), "part", "kind", "n", "names", "rank")
+
+
 def merged_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Nodes of both (node, label, props): the new label wins, properties are merged, the new ones on top."""
     a, b = old.alias("a"), new.alias("b")

@@ -86,17 +86,53 @@ def boosted(scored: DataFrame, section: str, boosts: dict[str, float] = SECTION_
     return scored.withColumn("score", F.round(F.col("score") * F.coalesce(F.element_at(table, F.col(section)), F.lit(1.0)), 6))
 
 
-def trigram_pairs(left: DataFrame, right: DataFrame, left_col: str, right_col: str, least: float) -> DataFrame:
-    """``left_col``, ``right_col``, ``sim`` >= ``least`` for distinct values: a join of shared trigrams.
+def _gram_sets(df: DataFrame, col: str) -> DataFrame:
+    """``value``, ``grams`` (distinct), ``n`` of the distinct values."""
+    rows = df.select(F.col(col).alias("value")).distinct().select("value", T.trigrams("value").alias("grams"))
+    return rows.where("value is not null").withColumn("n", F.size("grams"))
+
+
+def _rare_first(sets: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The sets with their grams as numbers, the rarest first."""
+    rows = sets.select("value", "n", F.explode("grams").alias("gram")).join(ranks, "gram")
+    return rows.groupBy("value", "n").agg(F.sort_array(F.collect_list("no")).alias("nos"))  # the grams of one value
+
+
+def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """``a``, ``b`` (and the sets as ``xs``, ``ys``) of sets (value, n, nos) that may reach a Jaccard similarity of ``least``.
+
+    Of two sets that do, the prefixes of n - ceil(least * n) + 1 rarest members meet. A pair is kept at
+    its first common member only, and only if what is left behind it can hold the overlap that the
+    sizes demand.
+    """
+    size = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    prefix = lambda df, v, n, s, p: df.select(F.col("value").alias(v), F.col("n").alias(n), F.col("nos").alias(s), F.posexplode(F.slice("nos", F.lit(1), size.cast("int"))).alias(p, "no"))
+    met = prefix(left, "a", "na", "xs", "i").join(prefix(right, "b", "nb", "ys", "j"), "no")
+    met = met.where((F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9))
+    behind = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
+    met = met.where(behind >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9)
+    first = F.size(F.array_intersect(F.slice("xs", F.lit(1), F.col("i")), F.slice("ys", F.lit(1), F.col("j")))) == 0
+    return met.where(first).select("a", "b", "xs", "ys")
+
+
+def similar_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """``a``, ``b``, ``sim`` >= ``least`` (at six decimals) for sets (value, n, grams): a join on prefixes of rare members.
 
-    Shared trigrams are counted by an equi-join, so no pair without one is ever made; lengths that
-    can't reach ``least`` go before counting.
+    No common member pairs all with all: members are numbered by rarity over both sides, and only the
+    rarest of each set, as many as ``least`` demands, are joined on.
     """
-    grams = lambda df, c, n: df.select(F.col(c)).distinct().select(c, T.trigrams(c).alias("g")).select(c, F.size("g").alias(n), F.explode("g").alias("gram"))
-    a, b = grams(left, left_col, "na"), grams(right, right_col, "nb")
-    met = a.join(b, "gram").where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
-    both = met.groupBy(left_col, right_col, "na", "nb").agg(F.count("*").alias("n"))
-    return both.select(left_col, right_col, F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("sim")).where(F.col("sim") >= least)
+    both = left.select(F.explode("grams").alias("gram")).unionByName(right.select(F.explode("grams").alias("gram")))
+    ranks = settle(both.groupBy("gram").agg(F.count("*").alias("f")).select("gram", F.struct("f", "gram").alias("no")), "ranks")
+    pairs = candidates(_rare_first(left, ranks), _rare_first(right, ranks), max(0.0, least - 1e-6))
+    shared = F.size(F.array_intersect("xs", "ys"))
+    sim = shared / (F.size("xs") + F.size("ys") - shared).cast("double")
+    return pairs.select("a", "b", F.round(sim, 6).alias("sim")).where(F.col("sim") >= least)
+
+
+def trigram_pairs(left: DataFrame, right: DataFrame, left_col: str, right_col: str, least: float) -> DataFrame:
+    """``left_col``, ``right_col``, ``sim`` >= ``least`` for distinct values, by shared over all distinct trigrams."""
+    found = similar_sets(_gram_sets(left, left_col), _gram_sets(right, right_col), least)
+    return found.select(F.col("a").alias(left_col), F.col("b").alias(right_col), "sim")
 
 
 def with_trigrams(scored: DataFrame, docs: DataFrame, mentions: DataFrame, *, weight: float = 0.5, k: int = 100, id_col: str = "doc_id", name_col: str = "name", least: float = 0.3) -> DataFrame:

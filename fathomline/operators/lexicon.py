@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
 from .lexical import trigram_pairs
 from .ranking import first_wins
 
@@ -29,7 +30,7 @@ def resolve(mentions: DataFrame, entries: DataFrame, tickers: DataFrame | None =
 
     def add(found: DataFrame) -> None:
         nonlocal rest, out
-        found = found.select("mention", "canonical_id", "label", "entry_type", "method", F.col("confidence").cast("double"), F.col("sim").cast("double"))
+        found = settle(found.select("mention", "canonical_id", "label", "entry_type", "method", F.col("confidence").cast("double"), F.col("sim").cast("double")), "resolved")
         out = found if out is None else out.unionByName(found)
         rest = rest.join(found.select("mention"), "mention", "left_anti")
 
@@ -39,6 +40,7 @@ def resolve(mentions: DataFrame, entries: DataFrame, tickers: DataFrame | None =
         add(first_wins(exact, ["mention"], [F.asc("seq")]).withColumns({"entry_type": F.lit("ticker"), "method": F.lit("exact_ticker"), "confidence": F.lit(1.0), "sim": F.lit(1.0)}))
     exact = rest.join(entries.withColumn("low", F.lower("surface_form")), F.lower("mention") == F.col("low"))
     add(first_wins(exact, ["mention"], [F.desc("confidence"), F.asc("entry_id")]).withColumns({"label": F.col("canonical_label"), "method": F.lit("exact_alias"), "sim": F.lit(1.0)}))
+    rest = settle(rest, "unresolved")  # each further way would work out all before it again
     if tickers is not None:
         near = trigram_pairs(rest, ticker_forms(tickers), "mention", "form", least).join(ticker_forms(tickers), "form")
         add(first_wins(near, ["mention"], [F.desc("sim"), F.asc("seq"), F.asc("form")]).withColumns({"entry_type": F.lit("ticker"), "method": F.lit("trigram_ticker"), "confidence": F.col("sim")}))

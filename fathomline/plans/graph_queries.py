@@ -106,6 +106,80 @@ def provenance_edges(t: Tables) -> DataFrame:
     return made.unionByName(texts.select(key(F.lit("text"), "h").alias("src"), key(F.lit("doc"), "d").alias("dst"), F.lit("derived_from").alias("edge_type"), F.col("n").alias("span_end")))
 
 
+_PATHS = "array_to_string(min(path), '>')"
+_FACTS = "facts as (select 'financial_fact:' || o_orderkey as node, 'Metric=' || o_orderpriority || '; Period=FY' || year(o_orderdate) || '; Value=' || o_custkey as text from orders)"
+
+
+def _expansion(t: Tables, depth: int) -> graph.Expansion:
+    """Of some companies, within two zones; facts have properties."""
+    facts = t.orders.select(key(F.lit("financial_fact"), "o_orderkey").alias("node"), F.create_map(F.lit("metric"), F.col("o_orderpriority"), F.lit("period"), F.concat(F.lit("FY"), F.year("o_orderdate").cast("string")), F.lit("value"), F.col("o_custkey").cast("string")).alias("props"))
+    starts = _starts(t).select(F.col("node").alias("start"), "node", F.array(F.lit("entity"), F.lit("data")).alias("zones"))
+    return graph.expand(starts, nodes(t).join(facts, "node", "left"), edges(t), depth)
+
+
+@query(f"""with recursive {_NODES}, {_EDGES}, {_STARTS}, {_FACTS}, walk as (select node as start, node, 0::bigint as depth, [node] as path from starts union select start, dst, depth + 1, list_append(path, dst) from walk join edges on src = node where depth < 2 and zone in ('entity', 'data')),
+best as (select start, node, depth, {_PATHS} as path from walk group by all having depth = (select min(depth) from walk w where w.start = walk.start and w.node = walk.node))
+select best.start, best.node, depth, path, zone, node_type, label, text from best join nodes on nodes.node = best.node left join facts on facts.node = best.node""".replace("group by all having depth = (select min(depth) from walk w where w.start = walk.start and w.node = walk.node)", "group by start, node, depth qualify depth = min(depth) over (partition by start, node)"))
+def graph_expand(t: Tables) -> DataFrame:
+    """Nodes by zone with the least shortest path, and the texts of facts."""
+    found = _expansion(t, 2)
+    rows = found.nodes.drop("props").withColumn("path", F.array_join("path", ">"))
+    return rows.join(found.texts, ["start", "node"], "left")
+
+
+@query(f"""with recursive {_EDGES}, {_STARTS}, walk as (select node as start, node, 0::bigint as depth from starts union select start, dst, depth + 1 from walk join edges on src = node where depth < 2 and zone in ('entity', 'data')),
+best as (select start, node, min(depth) as depth from walk group by start, node) select start, depth, src, dst, edge_type, zone from best join edges on src = node where depth < 2 and zone in ('entity', 'data')""")
+def graph_expand_edges(t: Tables) -> DataFrame:
+    """The edges of every node that the walk goes on from."""
+    return _expansion(t, 2).edges
+
+
+_PROVENANCE = """pn as (select distinct 'doc:' || doc_id as node, 'document' as node_type, lang as label from documents union select 'text:' || sha256(text), 'document', 'text' from documents union select 'run:' || source, 'extraction_run', source from documents union select 'agent:' || lang, 'system', lang from documents),
+pe as (select 'text:' || sha256(text) as src, 'doc:' || min(doc_id) as dst from documents group by text union all select 'doc:' || doc_id, 'run:' || source from documents union all select 'doc:' || doc_id, 'agent:' || lang from documents union all select distinct 'run:' || source, 'agent:' || lang from documents)"""
+
+
+def _provenance(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Texts derived from their first document, documents generated by runs and attributed to agents, with which runs are associated."""
+    d = t.documents.select(key(F.lit("doc"), "doc_id").alias("doc"), "doc_id", F.concat(F.lit("text:"), F.sha2(F.col("text").cast("binary"), 256)).alias("text"), key(F.lit("run"), "source").alias("run"), key(F.lit("agent"), "lang").alias("agent"), "source", "lang")
+    node = lambda c, kind, label: d.select(F.col(c).alias("node"), F.lit("provenance").alias("zone"), F.lit(kind).alias("node_type"), label.alias("label"), F.create_map().cast("map<string,string>").alias("props"))
+    parts = [node("doc", "document", F.col("lang")), node("text", "document", F.lit("text")), node("run", "extraction_run", F.col("source")), node("agent", "system", F.col("lang"))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).dropDuplicates(["node"])
+    edge = lambda df, a, b, kind: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(kind).alias("edge_type"), F.lit("provenance").alias("zone"))
+    first = d.groupBy("text").agg(key(F.lit("doc"), F.min("doc_id")).alias("doc"))
+    out = edge(first, "text", "doc", "derived_from").unionByName(edge(d, "doc", "run", "wasGeneratedBy")).unionByName(edge(d, "doc", "agent", "wasAttributedTo"))
+    return every, out.unionByName(edge(d.select("run", "agent").distinct(), "run", "agent", "wasAssociatedWith"))
+
+
+@query(f"""with recursive {_PROVENANCE}, s as (select distinct 'text:' || sha256(text) as node from documents), walk as (select node as start, node, 0::bigint as depth, [node] as path from s union select start, dst, depth + 1, list_append(path, dst) from walk join pe on src = node where depth < 3)
+select w.start, w.node, depth, {_PATHS} as path, node_type, label from walk w join pn on pn.node = w.node group by w.start, w.node, depth, node_type, label qualify depth = min(depth) over (partition by w.start, w.node)""")
+def provenance_walk(t: Tables) -> DataFrame:
+    """Every text's chain of documents, runs and agents, three steps deep."""
+    every, out = _provenance(t)
+    found = graph.provenance(every.where("node like 'text:%'"), every, out)
+    return found.select("start", "node", "depth", F.array_join("path", ">").alias("path"), "node_type", "label")
+
+
+@query(f"with {_NODES}, {_EDGES}, d as (from nodes where zone = 'entity') select src, dst, edge_type, zone from edges where src in (select node from d) and dst in (select node from d)")
+def zone_subgraph(t: Tables) -> DataFrame:
+    """The edges that the entity zone's nodes induce, of other zones too."""
+    return graph.induced(nodes(t), edges(t), "entity")[1]
+
+
+_REGION = "lab as (select 'industry:' || n_nationkey as node, n_regionkey as label from nation union all select 'company:' || c_custkey, n_regionkey from customer join nation on n_nationkey = c_nationkey union all select 'sector:' || r_regionkey, r_regionkey from region)"
+
+
+@query(f"""with {_NODES}, {_EDGES}, {_REGION}, o as (select lab.label as c, node_type as kind, nodes.label as name from nodes join lab using (node)), x as (select c, kind, count(*) as n from o group by all), nm as (select distinct c, kind, name from o), nr as (from nm qualify row_number() over (partition by c, kind order by name) <= 10),
+g as (select c, kind, string_agg(name, ',' order by name) as names from nr group by all), i as (select a.label as c, edge_type as kind, count(*) as n from edges join lab a on a.node = src join lab b on b.node = dst where a.label = b.label group by all),
+r as (select c as label, 'node' as part, kind, n, names from x left join g using (c, kind) union all select c, 'edge', kind, n, null from i) select *, row_number() over (partition by label, part order by n desc, kind) as rank from r""")
+def community_report(t: Tables) -> DataFrame:
+    """Regions as communities: labels by type, edge types by count."""
+    nation = t.nation.select("n_nationkey", "n_regionkey")
+    labels = nation.select(key(F.lit("industry"), "n_nationkey").alias("node"), F.col("n_regionkey").alias("label"))
+    labels = labels.unionByName(t.customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(key(F.lit("company"), "c_custkey").alias("node"), F.col("n_regionkey").alias("label")))
+    labels = labels.unionByName(t.region.select(key(F.lit("sector"), "r_regionkey").alias("node"), F.col("r_regionkey").alias("label")))
+    return graph.community_report(nodes(t), edges(t), labels)
+
+
 @query("""with p as (select 'doc:' || doc_id as doc, 'text:' || sha256(text) as txt, source from documents), m as (select txt, min(cast(substr(doc, 5) as bigint)) as d from p group by txt)
 select 'text:' || substr(m.txt, 6) as start, 'doc:' || m.d as doc, 'run:' || source as run from m join p on p.doc = 'doc:' || m.d where m.d % 100 = 0""")
 def provenance_chain(t: Tables) -> DataFrame:

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..operators import fusion, graph, lexical, vector
+from ..operators.ranking import top_k
 from ..sources.scratch import settle
 from . import understanding
 
+#: Hits of a channel that a question's plan may ask for.
+DEPTH = 200
+
 
 def hybrid(lexical_hits: DataFrame, vector_hits: DataFrame, *, k: int = 20, candidates: int = 100, method: str = "rrf") -> DataFrame:
     """``query_id``, ``item``, ``fused``, ``rank``: two channels, cut at ``candidates``, fused, cut at ``k``.
@@ -67,11 +72,13 @@ def answer(
     lex = lexical_hits(docs, terms)
     both = vectors.select(F.col("item").alias("vec_id"), "embedding")
     asked = query_vectors.select((-F.col("query_id") - 1).alias("vec_id"), "embedding")  # ids that no item has
-    depth = vectors.count() if owners is not None and expansions is not None else 200  # a company's hits may lie deep
-    vec = vector.nearest(both, asked, depth).select((-F.col("query_id") - 1).alias("query_id"), F.col("vec_id").alias("item"), "score")
-    if owners is not None and expansions is not None:
-        lex, vec = (lexical.of_companies(h, plan, owners, "item") for h in (lex, vec))
-    hits = fusion.channel(lex, "lexical", "item", "score", 200).unionByName(fusion.channel(vec, "narrative", "item", "score", 200))
+    narrowed = owners is not None and expansions is not None
+    free = asked.join(plan.where("size(company_ids) > 0").select((-F.col("query_id") - 1).alias("vec_id")), "vec_id", "left_anti") if narrowed else asked
+    vec = vector.nearest(both, free, DEPTH).select((-F.col("query_id") - 1).alias("query_id"), F.col("vec_id").alias("item"), "score")
+    if narrowed:
+        lex = lexical.of_companies(lex, plan, owners, "item")
+        vec = vec.unionByName(_within_companies(plan, owners, vectors, query_vectors))
+    hits = fusion.channel(lex, "lexical", "item", "score", DEPTH).unionByName(fusion.channel(vec, "narrative", "item", "score", DEPTH))
     cut = F.when(F.col("channel") == "lexical", F.col("lexical_k")).otherwise(F.col("semantic_k"))
     hits = settle(hits.join(plan.select("query_id", "lexical_k", "semantic_k"), "query_id").where(F.col("rank") <= cut).drop("lexical_k", "semantic_k"), "hits")
     fused = fusion.reciprocal_ranks(hits).join(plan.select("query_id", "fusion_k"), "query_id").where("rank <= fusion_k").drop("fusion_k")
@@ -84,14 +91,23 @@ def answer(
     rows = rows.select("query_id", "item", "rank", "tier", "intent", fusion.explanation(F.col("l"), F.col("v"), F.col("fused"), F.col("rank")).alias("explanation"))
     if edges is None or expansions is None:
         return rows
-    starts = plan.where("graph_k > 0").select("query_id", F.split("graph_zones", ",").alias("zones"), F.explode("company_ids").alias("start"))
-    near = related(starts.select("start").distinct(), edges)
-    found = starts.join(near, "start").where(F.array_contains("zones", F.col("zone"))).groupBy("query_id").agg(F.sort_array(F.collect_set("node")).alias("related"))
+    starts = plan.where("graph_k > 0").select(F.col("query_id").alias("start"), F.explode("company_ids").alias("node"), F.split("graph_zones", ",").alias("zones"))
+    near = graph.walk(starts, edges, 2).where("depth > 0")
+    found = near.groupBy(F.col("start").alias("query_id")).agg(F.sort_array(F.collect_set("node")).alias("related"))  # two steps from a question's companies
     return rows.join(found, "query_id", "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
 
 
-def related(starts: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
-    """``start``, ``node``, ``zone``, ``depth``: what many starts reach, with the zone of the edge that first leads there."""
-    reached = settle(graph.traverse(starts.select(F.col("start").alias("node")), edges, depth).where("depth > 0"), "reached")
-    zones = edges.groupBy(F.col("dst").alias("node")).agg(F.min("zone").alias("zone"))
-    return reached.join(zones, "node").select("start", "node", "zone", "depth")
+def _within_companies(plan: DataFrame, owners: DataFrame, vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
+    """``query_id``, ``item``, ``score``: the nearest vectors of the companies that a question names; no others are scored."""
+    named = plan.select("query_id", F.explode("company_ids").alias("company_id")).distinct().join(query_vectors.select("query_id", F.col("embedding").alias("q")), "query_id")
+    own = owners.select("item", "company_id").join(vectors.select("item", "embedding"), "item")
+    scored = named.join(own, "company_id").select("query_id", "item", F.round(V.cosine("q", "embedding"), 6).alias("score")).distinct()
+    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("item")], DEPTH).drop("rank")
+
+
+def related(starts: DataFrame, edges: DataFrame, depth: int = 2, zones: list[str] | None = None) -> DataFrame:
+    """``start``, ``node``, ``zone``, ``depth``: what many starts reach within ``zones``, with the zone of the edge that leads there on the least path."""
+    rows = starts.select("start", F.col("start").alias("node"))
+    if zones is not None:
+        rows = rows.withColumn("zones", F.array(*[F.lit(z) for z in zones]))
+    return graph.walk(rows, edges, depth).where("depth > 0").select("start", "node", F.col("edge_zone").alias("zone"), "depth")
