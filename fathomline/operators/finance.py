@@ -65,6 +65,12 @@ def statement_rules() -> list[tuple[str, str, Column]]:
     ]
 
 
+def company_rules(id_col: str = "company_id", name: str = "name", identifiers: str = "identifiers") -> list[tuple[str, str, Column]]:
+    """Companies: an id and a name; at least one identifier is expected."""
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    return [("error", "missing_id", empty(id_col)), ("error", "missing_name", empty(name)), ("warning", "no_identifiers", F.coalesce(F.size(identifiers), F.lit(0)) <= 0)]
+
+
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, and how often beyond the first."""
     return df.groupBy(key).agg((F.count("*") - 1).alias("extra")).where("extra > 0")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import numbers as N
 from ..operators import finance, lexicon, monitoring, ranking
@@ -65,9 +64,18 @@ def composite_score(t: Tables) -> DataFrame:
 
 @query(f"with {_SCORES}, r as (select c_custkey, c_nationkey, round(cast(score as double), 4) as score from sc join customer using (c_custkey)) select c_custkey, score, row_number() over (partition by c_nationkey order by score desc, c_custkey) as rank, round(percent_rank() over (partition by c_nationkey order by score, c_custkey), 6) as pct from r")
 def company_ranking(t: Tables) -> DataFrame:
+    """Both ranks by ranges: no nation is sorted in one task."""
     rows = _scores(t).withColumn("score", F.round("score", 4))
-    pct = F.percent_rank().over(Window.partitionBy("c_nationkey").orderBy("score", "c_custkey"))
-    return ranking.ranked(rows.withColumn("pct", F.round(pct, 6)), ["c_nationkey"], [F.desc("score"), F.asc("c_custkey")]).select("c_custkey", "score", "rank", "pct")
+    rows = ranking.ranked_by_ranges(rows, ["c_nationkey"], [F.asc("score"), F.asc("c_custkey")], "place", "n")
+    rows = rows.withColumn("pct", F.round(F.when(F.col("n") > 1, (F.col("place") - 1) / (F.col("n") - 1)).otherwise(0.0), 6))
+    return ranking.ranked_by_ranges(rows, ["c_nationkey"], [F.desc("score"), F.asc("c_custkey")]).select("c_custkey", "score", "rank", "pct")
+
+
+@query("""select c_custkey, unnest(list_filter([case when c_nationkey = 3 then 'error:missing_id' end, case when c_mktsegment = 'BUILDING' then 'error:missing_name' end, case when c_acctbal <= 0 then 'warning:no_identifiers' end], lambda x: x is not null)) as issue from customer""")
+def validate_companies(t: Tables) -> DataFrame:
+    """Customers as companies; some are made to lack an id, a name or identifiers."""
+    rows = t.customer.select("c_custkey", F.when(F.col("c_nationkey") != 3, F.col("c_custkey")).alias("company_id"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name")).otherwise("").alias("name"), F.when(F.col("c_acctbal") > 0, F.array("c_phone" if "c_phone" in t.customer.columns else "c_name")).alias("identifiers"))
+    return finance.issues(rows, "c_custkey", finance.company_rules()).select("c_custkey", N.key("severity", "rule").alias("issue"))
 
 
 @query("select doc_id, unnest(list_filter([case when length(trim(text)) = 0 then 'error:empty_content' end, case when length(trim(text)) > 0 and length(text) < 50 then 'warning:short_content' end, case when coalesce(source, '') = '' then 'warning:no_company' end], lambda x: x is not null)) as issue from documents")

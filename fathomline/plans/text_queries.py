@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import chunking, lexical
+from ..operators import chunking, lexical, spans
 from . import understanding
 from .catalog import Tables, query
 
@@ -221,3 +222,25 @@ def export_json_rows(t: Tables) -> DataFrame:
     from ..sources.sinks import json_rows
 
     return json_rows(t.part.select("p_partkey", "p_brand", "p_name", "p_size"), "p_partkey")
+
+
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as line_no from documents), c as (select *, len(string_split(line, ' ')) as k from l),
+s as (select doc_id, line_no, line, coalesce(sum(k) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint as b, k from c),
+w as (select doc_id, b + unnest(range(0, k)) as at_, unnest(string_split(line, ' ')) as word from s), e as (select doc_id, at_ from w where regexp_matches(word, '^[A-Z][a-z]+')),
+i as (select doc_id, at_, at_ - row_number() over (partition by doc_id order by at_) as g from e), a as (select doc_id, min(at_) as a, max(at_) + 1 as z from i group by doc_id, g),
+t as (select doc_id, sum(k)::bigint as n from c group by doc_id), h as (select doc_id, p as b, least(p + 120, n) as y from (select doc_id, n, unnest(range(0, n, 90)) as p from t)),
+r as (select doc_id, 'chunk' as kind, b as no, b, y from h union all select doc_id, 'line', line_no, b, b + k from s)
+select a.doc_id, a.a as span_start, a.z as span_end, kind, no, a.a >= b and a.z <= y as whole from a join r on a.doc_id = r.doc_id and a.a < r.y and r.b < a.z""")
+def span_provenance(t: Tables) -> DataFrame:
+    """Runs of capitalised words with the chunks and the lines that they touch, by places of words."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("words", F.split("line", " "))
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("b_start", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).cast("long"))
+    places = lines.select("doc_id", "b_start", F.posexplode("words").alias("i", "word")).where(F.col("word").rlike("^[A-Z][a-z]+")).select("doc_id", (F.col("b_start") + F.col("i")).alias("at"))
+    whole = lines.groupBy("doc_id").agg(F.sum(F.size("words")).cast("long").alias("n"))
+    chunks = whole.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(90).cast("long"))).alias("b_start"))
+    chunks = chunks.select("doc_id", F.lit("chunk").alias("kind"), F.col("b_start").alias("no"), "b_start", F.least(F.col("b_start") + 120, F.col("n")).alias("b_end"))
+    own = lines.select("doc_id", F.lit("line").alias("kind"), F.col("line_no").cast("long").alias("no"), "b_start", (F.col("b_start") + F.size("words")).alias("b_end"))
+    met = spans.overlapping(spans.runs(places, "doc_id"), chunks.unionByName(own), ["doc_id"])
+    inside = (F.col("a_start") >= F.col("b_start")) & (F.col("a_end") <= F.col("b_end"))
+    return met.select("doc_id", F.col("a_start").alias("span_start"), F.col("a_end").alias("span_end"), "kind", "no", inside.alias("whole"))
