@@ -34,9 +34,10 @@ def _both(edges: DataFrame) -> DataFrame:
 def _modularity(both: DataFrame, degrees: DataFrame, labels: DataFrame, m: float, resolution: float) -> float:
     """``labels``: node, label. ``both`` has each edge twice, so that the sums are over 2m."""
     a, b = labels.toDF("u", "la"), labels.toDF("v", "lb")
-    inside = both.join(a, "u").join(b, "v").where("la = lb").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    squares = degrees.join(labels, "node").groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
-    return inside / (2 * m) - resolution * squares / (4 * m * m)
+    inside = both.join(a, "u").join(b, "v").where("la = lb").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("inside"))
+    squares = degrees.join(labels, "node").groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("squares"))
+    row = inside.crossJoin(squares).first()  # one row each
+    return row["inside"] / (2 * m) - resolution * row["squares"] / (4 * m * m)
 
 
 def _moves(both: DataFrame, degrees: DataFrame, labels: DataFrame, m: float, resolution: float) -> DataFrame:
