@@ -50,7 +50,7 @@ def test_pipeline_keeps_the_mixture(spark):
     until = min(map(max, served.values())) + 1  # while all sources have blocks left
     for slots in range(1, until + 1):
         for s, w in weights.items():
-            assert abs(sum(x < slots for x in served[s]) - slots * w) < 1.1
+            assert abs(sum(x < slots for x in served[s]) - slots * w) < 1
 
 
 def test_pipeline_edges(spark):
