@@ -53,6 +53,11 @@ def key(*parts) -> Column:
     return F.concat_ws(":", *[as_column(p).cast("string") for p in parts])
 
 
+def community_id(zone, index, first_ids) -> Column:
+    """A stable id of a community: the zone, its number and its first ids, hashed to 16 hex digits."""
+    return short_hash(key(zone, index, F.array_join(as_column(first_ids), ",")), 16)
+
+
 def short_hash(text, length: int = 12) -> Column:
     """The first hex digits of a SHA-256."""
     return F.substring(F.sha2(as_column(text).cast("binary"), 256), 1, length)

@@ -72,17 +72,39 @@ def clean_text(text) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+#: Control characters that go; line ends and tabs stay.
+CONTROL = r"(?![\n\r\t])\p{C}"
+
+
+def plain_punctuation(text) -> Column:
+    """Dashes, quotes, dots and spaces of typesetting as plain ones; marks of no width go."""
+    c = F.translate(as_column(text), "".join(REPLACED) + DROPPED, "".join(REPLACED.values()))
+    return F.replace(c, F.lit("…"), F.lit("..."))
+
+
 def normalize_text(text) -> Column:
     """Plain punctuation, no control characters, one space between words, two line ends at most."""
-    c = F.translate(as_column(text), "".join(REPLACED) + DROPPED, "".join(REPLACED.values()))
-    c = F.regexp_replace(F.replace(c, F.lit("…"), F.lit("...")), r"(?![\n\r\t])\p{C}", "")
+    c = F.regexp_replace(plain_punctuation(text), CONTROL, "")
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t\r\f\x0b]+", " "), r"\n{3,}", "\n\n")
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def control_characters(text) -> Column:
     """How many control characters normalize_text() would remove."""
-    return F.regexp_count(as_column(text), F.lit(r"(?![\n\r\t])\p{C}"))
+    return F.regexp_count(as_column(text), F.lit(CONTROL))
+
+
+def normalization_issues(text) -> Column:
+    """A line for each control character that normalize_text() removes, in order; marks of no width are no issue."""
+    found = F.regexp_extract_all(plain_punctuation(text), F.lit(CONTROL), F.lit(0))
+    return F.transform(found, lambda ch: F.format_string("removed control char U+%04X", F.ascii(ch)))
+
+
+def normalization(text, language=None, default: str = "en") -> Column:
+    """(original, normalized, language, issues) of a text; the ``default`` language where none is given."""
+    c = as_column(text)
+    spoken = F.lit(default) if language is None else F.coalesce(F.nullif(as_column(language), F.lit("")), F.lit(default))
+    return F.struct(c.alias("original"), normalize_text(c).alias("normalized"), spoken.alias("language"), normalization_issues(c).alias("issues"))
 
 
 def normalize_identifier(text) -> Column:

@@ -77,6 +77,34 @@ def identifier_spans(text) -> Column:
     return F.transform(_securities(c), lambda x: _token(c, x, F.lit("identifier"), F.upper))
 
 
-def typed_tokens(text, field: str) -> Column:
-    """The tokens of a field by its type: ``identifier``, or any other as narrative."""
-    return identifier_spans(text) if field == "identifier" else narrative_tokens(text)
+def schema_spans(text) -> Column:
+    """Array of (text, kind, start, end, normalized) of the parts of a controlled name, in lower case and not stemmed.
+
+    Places are those in the trimmed text with one character for each run of separators.
+    """
+    parts = F.split(F.lower(F.trim(as_column(text))), r"[:/\-_\s]+")
+
+    def token(part: Column, i: Column) -> Column:
+        start = (F.length(F.array_join(F.slice(parts, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)).cast("long")
+        return F.struct(part.alias("text"), F.lit("schema").alias("kind"), start.alias("start"), (start + F.length(part)).alias("end"), part.alias("normalized"))
+
+    return F.filter(F.transform(parts, token), lambda t: t["text"] != "")
+
+
+def typed_tokens(text, field: str | Column) -> Column:
+    """The tokens of a field by its type: ``identifier``, ``schema``, or any other as narrative.
+
+    The type may be a column; each row then takes the tokens of its own type, and a scan in Python
+    gets null for the rows that don't need it.
+    """
+    if isinstance(field, str):
+        return {"identifier": identifier_spans, "schema": schema_spans}.get(field, narrative_tokens)(text)
+    c, kind = as_column(text), F.coalesce(field, F.lit("narrative"))
+    only = lambda wanted: F.when(wanted, c)
+    plain = ~kind.isin("identifier", "schema")
+    return F.coalesce(schema_spans(only(kind == "schema")), identifier_spans(only(kind == "identifier")), narrative_tokens(only(plain)))
+
+
+def of_kind(tokens_: Column, *kinds: str) -> Column:
+    """Of an array of tokens those of some kinds."""
+    return F.filter(tokens_, lambda t: t["kind"].isin(*kinds))

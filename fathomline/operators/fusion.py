@@ -38,6 +38,19 @@ def source_maps(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "item").agg(pairs("rank").alias("source_ranks"), pairs("score").alias("source_scores"))
 
 
+def fullest(hits: DataFrame, order: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
+    """``query_id``, ``item``, ``payload``: of a hit's payloads (a map in each channel) the one with most entries.
+
+    On ties the channel that comes first in ``order`` holds, then the channel's name; channels that
+    aren't named come last. A null payload has no entry.
+    """
+    at = F.array_position(F.array(*map(F.lit, order)), F.col("channel"))
+    place = F.when(at == 0, len(order) + 1).otherwise(at)
+    size = F.coalesce(F.size("payload"), F.lit(0))  # a null map has size -1 or null, by the session's settings
+    best = F.min_by("payload", F.struct(F.negative(F.greatest(size, F.lit(0))), place, F.col("channel")))
+    return hits.groupBy("query_id", "item").agg(best.alias("payload"))
+
+
 def overlap_rerank(candidates: DataFrame, terms: DataFrame, tokens: DataFrame, top: int = RERANK_TOP) -> DataFrame:
     """The ``top`` of each query anew, by the share of query terms that the item holds; the rest go.
 
@@ -57,6 +70,16 @@ def explanation(lexical: Column, semantic: Column, fused: Column, rank: Column)
     return F.concat_ws(" | ", F.when(parts != "", F.concat(F.lit("Scores: "), parts)), F.format_string("Final=%.4f (rank #%d)", F.round(fused, 4), rank))
 
 
+def explained(rows: DataFrame, texts: DataFrame, first: int = 10, preview: int = 200) -> DataFrame:
+    """The ``first`` hits of each query (query_id, item, rank, ...) with ``preview``, the first characters of the item's text.
+
+    ``texts`` (item, text), one row an item; an item without a text has an empty preview. Only the
+    texts of shown items are read past the join.
+    """
+    shown = rows.where(F.col("rank") <= first)
+    return shown.join(texts.select("item", F.substring("text", 1, preview).alias("preview")), "item", "left").select(*rows.columns, F.coalesce("preview", F.lit("")).alias("preview"))
+
+
 def final_hits(fused: DataFrame, k: int) -> DataFrame:
     return fused.where(F.col("rank") <= k)
 

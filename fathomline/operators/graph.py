@@ -7,8 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import community_id
 from ..sources.scratch import settle
-from .ranking import ranked, top_k
+from .ranking import ranked, ranked_by_ranges, top_k
 
 #: Node and edge types of each zone.
 ZONES = {
@@ -222,6 +223,18 @@ def community_summary(nodes: DataFrame, edges: DataFrame, labels: DataFrame, top
     return size.join(count, "label", "left").join(best, "label", "left").select("label", "size", F.coalesce("edges_inside", F.lit(0)).alias("edges_inside"), "key_nodes")
 
 
+def community_ids(labels: DataFrame, zone: str, first: int = 10) -> DataFrame:
+    """``label``, ``community_id``, ``n_nodes`` of labels (node, label): communities are numbered from 0 by falling size, then label.
+
+    An id is made of the ``first`` nodes by name, which are cut by rank: no community is gathered
+    whole, and the numbers go by ranges, so that many small communities don't meet in one task.
+    """
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n_nodes")).withColumn("zone", F.lit(zone))
+    heads = top_k(labels.select("label", "node"), ["label"], [F.asc("node")], first).groupBy("label").agg(F.sort_array(F.collect_list("node")).alias("first"))
+    rows = ranked_by_ranges(sizes, ["zone"], [F.desc("n_nodes"), F.asc("label")]).join(heads, "label")
+    return rows.select("label", community_id("zone", F.col("rank") - 1, "first").alias("community_id"), "n_nodes")
+
+
 def community_report(nodes: DataFrame, edges: DataFrame, labels: DataFrame, first: int = 10) -> DataFrame:
     """``label``, ``part``, ``kind``, ``n``, ``names``: for each community its node types with their ``first`` labels, and its edge types, by falling count (``rank``).
 

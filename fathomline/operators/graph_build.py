@@ -68,13 +68,26 @@ def lexicon(entries: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFra
     return nodes, _all([edge(entries, one, F.col("canonical_id"), "alias_of", "lexical"), edge(mappings, two, F.col("concept"), "maps_to_concept", "lexical")])
 
 
-def provenance(docs: DataFrame, chunks: DataFrame, run: str = "run") -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, title, run) and chunks (chunk_id, doc_id, start, end): where each text comes from."""
+def provenance(docs: DataFrame, chunks: DataFrame, run: str = "run", agent: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, title, run) and chunks (chunk_id, doc_id, start, end): where each text comes from.
+
+    ``agent``: the column that names who a document is attributed to; rows without one have no such edge.
+    """
     doc = F.col("doc_id").cast("string")
     runs = docs.where(F.col(run).isNotNull())
     nodes = _all([node(docs, doc, "provenance", "document", "title"), node(runs.select(run).distinct(), F.col(run), "provenance", "extraction_run", F.concat(F.lit("ingestion:"), F.col(run)))])
-    edges = _all([edge(runs, doc, F.col(run), "wasGeneratedBy", "provenance"), edge(chunks, F.col("chunk_id"), doc, "derived_from", "provenance", span_start="start", span_end="end")])
-    return nodes, edges
+    edges = [edge(runs, doc, F.col(run), "wasGeneratedBy", "provenance"), edge(chunks, F.col("chunk_id"), doc, "derived_from", "provenance", span_start="start", span_end="end")]
+    if agent is not None:
+        owned, me = docs.where(F.coalesce(F.col(agent), F.lit("")) != ""), key(F.lit("agent"), agent)
+        nodes = nodes.unionByName(node(owned.select(agent).distinct(), me, "provenance", "agent", agent))
+        edges.append(edge(owned, doc, me, "wasAttributedTo", "provenance"))
+    return nodes, _all(edges)
+
+
+def triples(edges: DataFrame) -> DataFrame:
+    """``subject``, ``predicate``, ``object`` of provenance edges, with derivation by its standard name."""
+    named = F.when(F.col("edge_type") == "derived_from", "wasDerivedFrom").otherwise(F.col("edge_type"))
+    return edges.where("zone = 'provenance'").select(F.col("src").alias("subject"), named.alias("predicate"), F.col("dst").alias("object"))
 
 
 def claims(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -75,6 +75,16 @@ def bm25_of(hits: DataFrame, whole: DataFrame, terms: DataFrame, *, mode: str =
     return scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
+def matching(docs: DataFrame, **wanted: str | None) -> DataFrame:
+    """Documents whose columns equal what is ``wanted`` (company, type, language, ...), all of it; None asks for nothing.
+
+    Before the scoring, so that the filters reach the scan and the counts are those of the rest.
+    """
+    for column, value in wanted.items():
+        docs = docs if value is None else docs.where(F.col(column) == value)
+    return docs
+
+
 def best(scored: DataFrame, k: int, score: str = "score", item: str = "doc_id") -> DataFrame:
     """The top ``k`` of each query, with ``rank``; ties go to the lesser item."""
     return top_k(scored, ["query_id"], [F.desc(score), F.asc(item)], k)

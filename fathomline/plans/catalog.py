@@ -35,4 +35,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import graph_queries, index_queries, more_queries, ops_queries, retrieval_queries, text_queries  # noqa: F401
+    from . import detail_queries, graph_queries, index_queries, more_queries, ops_queries, retrieval_queries, text_queries  # noqa: F401

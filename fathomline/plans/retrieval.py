@@ -52,6 +52,8 @@ def answer(
     expansions: DataFrame | None = None,
     owners: DataFrame | None = None,
     edges: DataFrame | None = None,
+    sections: DataFrame | None = None,
+    boosts: dict[str, float] = lexical.SECTION_BOOSTS,
 ) -> DataFrame:
     """From questions (query_id, text) to explained hits: parse, route, expand, plan, retrieve in two channels,
     fuse, rerank where the tier asks for it, widen by the graph, explain.
@@ -60,7 +62,8 @@ def answer(
     model. ``expansions`` are those of plans.expansion: their terms are searched for, and where they name
     companies, only documents of these (``owners``: item, company_id) are hits. How deep each channel
     is read, and whether hits are reranked, is each question's plan. With ``edges``, ``related`` has
-    what the named companies reach in two steps within the plan's zones. Returns ``query_id``,
+    what the named companies reach in two steps within the plan's zones. With ``sections`` (item, section),
+    lexical scores are multiplied by their section's boost before they are cut. Returns ``query_id``,
     ``item``, ``rank``, ``tier``, ``intent``, ``explanation``, and ``related`` with ``edges``.
     """
     plan = understanding.stages(understanding.routed(understanding.parsed(questions)))
@@ -70,6 +73,8 @@ def answer(
     searched = F.col("normalized") if expansions is None else F.coalesce(F.when(F.col("expanded") != "", F.col("expanded")), F.col("normalized"))
     terms = lexical.query_terms(plan.withColumn("searched", searched), "query_id", "searched")
     lex = lexical_hits(docs, terms)
+    if sections is not None:
+        lex = lexical.boosted(lex.join(sections, "item", "left"), "section", boosts).drop("section")
     both = vectors.select(F.col("item").alias("vec_id"), "embedding")
     asked = query_vectors.select((-F.col("query_id") - 1).alias("vec_id"), "embedding")  # ids that no item has
     narrowed = owners is not None and expansions is not None

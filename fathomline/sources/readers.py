@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,9 +71,39 @@ def read_metrics_csv(spark: SparkSession, path: str, company_id: str, metrics: l
     return wide.select(F.lit(company_id).alias("company_id"), "*")
 
 
+def parse_json(text: Column, schema: str) -> Column:
+    """Array of records of a JSON literal, which is one object or an array of them; null where it is broken."""
+    return F.from_json(text, f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
+
+
+#: A record of a CSV literal: quoted parts, which may hold line ends, and others. Possessive, as no part can be read in two ways.
+CSV_RECORD = r'(?:"[^"]*+"|[^"\r\n]++)++'
+
+
+def parse_csv(text: Column, columns: list[str], sep: str = ",") -> Column:
+    """Array of records (text fields ``columns``, in the header's order) of a CSV literal with a header; empty lines count for nothing.
+
+    A record with fewer fields has nulls at its end; more than ``columns`` are left out. Null for a null literal.
+    """
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    records = F.regexp_extract_all(text, F.lit(CSV_RECORD), F.lit(0))
+    body = F.slice(records, F.lit(2), F.greatest(F.size(records) - 1, F.lit(0)))
+    return F.transform(body, lambda r: F.from_csv(r, schema, {"sep": sep, "escape": '"', "multiLine": "true"}))
+
+
+def seed_lexicon(spark: SparkSession) -> dict[str, DataFrame]:
+    """The tables of the library's own small lexicon, as read_lexicon() gives them. The file is of a fixed size and goes with the plan."""
+    text = (Path(__file__).parent / "seed_lexicon.json").read_text()
+    one = spark.range(1).select(F.from_json(F.lit(text), LEXICON).alias("x")).select("x.*")
+    return _lexicon_tables(one)
+
+
 def read_lexicon(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The four tables of a lexicon file; ``seq`` is a row's place in its list."""
-    rows = read_json(spark, path, LEXICON)
+    return _lexicon_tables(read_json(spark, path, LEXICON))
+
+
+def _lexicon_tables(rows: DataFrame) -> dict[str, DataFrame]:
     part = lambda name: rows.select("version", F.posexplode(name).alias("seq", "x")).select("version", "seq", "x.*")
     return {name: part(name) for name in ("entries", "tickers", "abbreviations", "schema_mappings")}
 
