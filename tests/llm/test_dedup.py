@@ -432,3 +432,52 @@ def test_block_size_changes_nothing(spark):
     assert rows(1024) == rows(16)
     assert tuple(map(len, map(set, [rows(1024)]))) == (len(vector_rows()),)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def _scrambled_families(kind: str, n: int, words: int = 80, alike: float = 0.9, piece: int = 12) -> tuple[list, list]:
+    """Documents whose passage's phrases also stand in another order, in six other documents or earlier in the holder; and where each fuzzy copy lies."""
+    rng, rows, wanted = random.Random(5), [], []
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    filler = lambda k: [word() for _ in range(k)]
+    add = lambda w: rows.append((len(rows), " ".join(w)))
+    for _ in range(n):
+        p = filler(words)
+        pieces = [p[i : i + piece] for i in range(0, words, piece)]
+        scrap = lambda: [w for q in rng.sample(pieces, len(pieces)) for w in q + filler(3)]  # noqa: B023, E731
+        copy = list(p)
+        for i in rng.sample(range(words), round(words * (1 - alike))):
+            copy[i] = word()
+        if kind == "others":
+            for holder in (None, None, None, p, None, None, None):
+                add(filler(30) + (holder or scrap()) + filler(30))
+        else:
+            add(filler(10) + scrap() + filler(30) + p + filler(30))
+        head = filler(25)
+        start = len(" ".join(head)) + 1
+        wanted.append((len(rows), start, start + len(" ".join(copy))))
+        add(head + copy + filler(25))
+    return rows, wanted
+
+
+@pytest.mark.parametrize("kind", ["others", "earlier"])
+def test_fuzzy_passages_are_found_where_their_phrases_stand_elsewhere_too(spark, kind):
+    rows, wanted = _scrambled_families(kind, 60)
+    found = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    longest = {d: max((min(r["end"], z) - max(r["start"], a) for r in found if r["id"] == d), default=0) / (z - a) for d, a, z in wanted}
+    assert sum(share >= 0.6 for share in longest.values()) >= 0.9 * len(wanted)
+
+
+def test_places_of_a_seed_beyond_the_bound_are_matched_by_number(spark):
+    """A text that says one phrase a hundred times doesn't hide a passage behind it, and gives no hundred times hundred matches."""
+    rng = random.Random(3)
+    filler = lambda k: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(k)]
+    p, phrase = filler(60), filler(4)
+    said = lambda: [w for _ in range(100) for w in phrase + filler(2)]
+    texts = [" ".join(said() + p + filler(5)), " ".join(filler(5) + p + said())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = substring_dedup.shared_passages(docs).collect()
+    at = texts[1].index(" ".join(p))
+    assert any(r["id"] == 1 and r["start"] <= at and r["end"] >= at + len(" ".join(p)) for r in found)
+    ids = docs.select(docs["doc_id"].alias("id"))
+    rows = docs.selectExpr("doc_id as id", "0 as copy", "text")
+    assert substring_dedup._matches(rows, ids, substring_dedup.RULES).count() < 2000
