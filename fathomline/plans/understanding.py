@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,14 @@ INTENTS = {
 TIERS = {"find_evidence": "A", "compare": "B", "explain": "C", "compute": "A", "summarize": "B", "trend": "B", "screen": "B"}
 
 
+def _cue(lower: Column, cue: str) -> Column:
+    """Whether a cue is there; where it begins with a whole word, that is looked for first, which most texts don't hold."""
+    word = re.match(r"\\b([a-z]{2,})", cue)
+    return lower.contains(word[1]) & lower.rlike(cue) if word else lower.rlike(cue)
+
+
 def _share(lower: Column, cues: tuple[str, ...]) -> Column:
-    hits = [lower.rlike(p).cast("int") for p in cues]
+    hits = [_cue(lower, p).cast("int") for p in cues]
     return sum(hits[1:], hits[0]) / F.lit(len(cues))
 
 
