@@ -108,3 +108,50 @@ def test_labelled_sample_is_bounded(spark):
     assert 350 < labelled_sample(labels, "doc_id", "toxic", 500).count() < 650
     twice = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1)], "doc_id long, toxic int")
     assert [r["key"] for r in labelled_sample(twice, "doc_id", "toxic", 500).collect()] == [2]
+
+
+def test_quality_scores_rule_by_rule(spark, sf):
+    """Each whole text's score, summed in plain Python; the weights solve the lasso's own conditions on the training rows."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r["key"]: r["label"] for r in labelled_sample(labels, "doc_id", "quality", 20_000).collect()}
+    stats = quality_classifier.stat_table(docs)
+    model = quality_classifier.fit(stats, labelled_sample(labels, "doc_id", "quality", 20_000))
+    told = {r["id"]: r["s"] for r in stats.select("id", model.score([F.element_at("stats", k + 1) for k in range(len(quality_classifier.STATS))]).alias("s")).collect()}
+    holds = lambda rule, s: all(s[k] > t if above else s[k] <= t for k, t, above in rule)
+    rows, residual = [], []
+    for r in docs.collect():
+        s = quality_classifier.text_stats(r["text"] or "")
+        held = np.array([holds(rule, s) for _, rule in model.rules], float)
+        p = 1 / (1 + math.exp(-(model.start + held @ np.array([w for w, _ in model.rules]))))
+        assert told[r["doc_id"]] == pytest.approx(p, abs=1e-9)
+        if r["doc_id"] in known:
+            rows.append(held)
+            residual.append(p - known[r["doc_id"]])
+    slope, signs = np.array(residual) @ np.array(rows) / len(rows), np.sign([w for w, _ in model.rules])
+    assert len(model.rules) >= 3 and abs(np.mean(residual)) < 2e-3
+    assert np.abs(slope + quality_classifier.RULES.penalty * signs).max() < 2e-3
+
+
+def test_toxicity_against_a_plain_fit(spark, sf):
+    """Votes, posteriors and the classifier once more, with loops and Newton's steps in NumPy."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r["id"]: r for r in toxicity.toxicity_scores(docs).collect()}
+    voters = toxicity.Voters.of([], toxicity.RULES, [])
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    counts = np.array([voters.counts(t) for t in texts.values()], float)
+    votes = (counts > 0).astype(float)
+    start, steps = toxicity.fit_label_model(len(votes), votes.sum(0), votes.T @ votes, toxicity.RULES.prior).logits()
+    p = 1 / (1 + np.exp(-(start + votes @ steps)))
+    assert np.allclose(p, [got[i]["posterior"] for i in texts], atol=1e-9)
+    x = np.column_stack([np.log1p(counts), np.log1p(votes.sum(1)), np.log1p(counts.sum(1))])
+    # Spark scales by the unbiased deviation of weighted rows: texts with the same counts are two rows, of weights n p and n (1 - p).
+    alike, size = np.unique(np.column_stack([x, p]), axis=0, return_counts=True)
+    w = np.concatenate([size * alike[:, -1], size * (1 - alike[:, -1])])
+    spread = np.sqrt(((x - x.mean(0)) ** 2).sum(0) / (len(x) - (w @ w) / len(x)))
+    x = np.column_stack([np.divide(x, spread, where=spread > 0, out=np.zeros_like(x)), np.ones(len(x))])
+    ridge = np.diag([1e-4] * (x.shape[1] - 1) + [1e-12])
+    beta = np.zeros(x.shape[1])
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-x @ beta))
+        beta -= np.linalg.lstsq((x * (q * (1 - q))[:, None]).T @ x / len(x) + ridge, x.T @ (q - p) / len(x) + ridge @ beta, rcond=None)[0]
+    assert np.abs(1 / (1 + np.exp(-x @ beta)) - [got[i]["score"] for i in texts]).max() < 2e-3
