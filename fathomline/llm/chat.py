@@ -117,7 +117,9 @@ def read_back(parts: DataFrame, tokenizer_path: str) -> DataFrame:
 
     Turns are parsed from the formatted text; the text under the loss mask is decoded from the masked
     token ids. Both are done part by part, wherever a part lies; what then meets in one task is a
-    stream of sorted parts, which only run through the digests.
+    stream of sorted parts, which only run through the digests. A null conversation id is an id like
+    any other; null texts and roles were formatted as empty ones; a conversation without a masked token
+    has 0 ``loss_chars`` and the digest of nothing. Other columns are ignored. No parts, no rows.
     """
     kind = parts.schema["conv"].dataType.simpleString()
 

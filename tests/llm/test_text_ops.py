@@ -270,3 +270,18 @@ def test_mixing(spark):
     assert {"big", "s0", "s3"} <= set(first)
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix_documents(df.limit(0)).count() == 0
     assert mixing.mix(df).count() == len(rows)
+
+
+def test_mixing_of_texts_longer_than_a_block(spark):
+    """A long text is one block; numbers of blocks and slots have no gaps, and rows of equal length and repeated rows stay."""
+    rows = [(i, "x" * (5000 if i % 10 == 0 else 400), f"s{i % 2}") for i in range(60)] + [(1, "x" * 400, "s1")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_chars=1000, bucket_rows=7).collect()
+    assert len(got) == len(rows)
+    sizes, blocks = {i: len(t) for i, t, _ in rows}, defaultdict(list)
+    for r in got:
+        blocks[r["source"], r["block"]].append(sizes[r["id"]])
+        assert r["release"] <= r["slot"] < r["deadline"]
+    for s in ("s0", "s1"):
+        assert sorted(b for of, b in blocks if of == s) == list(range(sum(of == s for of, _ in blocks)))
+    assert all(len(b) <= 3 or max(b) < 5000 for b in blocks.values()) and all(sum(b) < 1000 + max(b) for b in blocks.values())
+    assert {r["slot"] for r in got} == set(range(len(blocks)))
