@@ -1,6 +1,7 @@
 """Typed tokens with their places in the text: the one text function that needs Python, as it needs offsets.
 
-The scans give kinds and offsets alone; the tokens' text and normal forms are columns.
+The scans give kinds, offsets and texts, as Spark would walk from a text's start to each offset; kinds of
+words and normal forms are columns.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,9 @@ TYPED = re.compile(
 SECURITY = re.compile(r"(?P<isin>\b[A-Z]{2}[A-Z0-9]{9}\d\b)|(?P<ticker>\b[A-Z]{1,5}(?:\.[A-Z]{1,2})?\b)")
 WORD = re.compile(r"\b[\w&/]+\b")
 PART = re.compile(r"\S+")
-SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("text", T.StringType())]))
+#: Texts that are scanned at once.
+SLICE = 256
 
 
 def spans(text: str, typed: re.Pattern, other: re.Pattern) -> list[tuple[str, int, int]]:
@@ -39,42 +42,58 @@ def spans(text: str, typed: re.Pattern, other: re.Pattern) -> list[tuple[str, in
     return sorted(found, key=lambda x: x[1])
 
 
-def _scan(texts: pd.Series, typed: re.Pattern, other: re.Pattern) -> pd.Series:
-    return texts.map(lambda t: None if t is None else [{"kind": k, "start": a, "end": b} for k, a, b in spans(t, typed, other)])
+def _scan(texts: pa.Array, typed: re.Pattern, other: re.Pattern) -> pa.Array:
+    parts = []
+    for at in range(0, max(1, len(texts)), SLICE):
+        some = texts.slice(at, SLICE).to_pylist()
+        found = [None if t is None else spans(t, typed, other) for t in some]
+        rows = [(*x, t[x[1] : x[2]]) for t, f in zip(some, found, strict=True) for x in f or ()]
+        ends = [0]
+        for f in found:
+            ends.append(ends[-1] + len(f or ()))
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))]
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["kind", "start", "end", "text"]), mask=pa.array([f is None for f in found], pa.bool_())))
+    return pa.concat_arrays(parts)
 
 
-@F.pandas_udf(SPAN)
-def _narrative(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(SPAN)
+def _narrative(texts: pa.Array) -> pa.Array:
     return _scan(texts, TYPED, WORD)
 
 
-@F.pandas_udf(SPAN)
-def _securities(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(SPAN)
+def _securities(texts: pa.Array) -> pa.Array:
     return _scan(texts, SECURITY, PART)
 
 
-def _token(c: Column, x: Column, kind: Column, plain) -> Column:
-    word = F.substring(c, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
-    return F.struct(word.alias("text"), kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), plain(word).alias("normalized"))
+def _token(x: Column, kind: Column, plain: Column) -> Column:
+    return F.struct(x["text"].alias("text"), kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), plain.alias("normalized"))
 
 
-def narrative_tokens(text) -> Column:
-    """Array of (text, kind, start, end, normalized): periods, numbers, currencies, identifiers (abbreviations) and narrative words, which are stemmed."""
-    c = as_column(text)
+def narrative_spans(text) -> Column:
+    """Array of (kind, start, end, text) as scanned: periods, numbers, currencies and words."""
+    return _narrative(as_column(text))
+
+
+def narrative_kind(kind: Column, word: Column) -> Column:
+    """The kind of a scanned span: of words, whether it is an abbreviation."""
+    return F.when(kind != "word", kind).when(F.upper(word).isin(ABBREVIATIONS), "identifier").otherwise("narrative")
 
-    def token(x: Column) -> Column:
-        word = F.substring(c, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
-        kind = F.when(x["kind"] != "word", x["kind"]).when(F.upper(word).isin(ABBREVIATIONS), "identifier").otherwise("narrative")
-        plain = lambda w: F.when(kind == "period", F.replace(F.upper(w), F.lit(" "), F.lit(""))).when(kind == "number", F.replace(w, F.lit(","), F.lit(""))).when(kind == "narrative", stem(F.lower(w))).otherwise(F.upper(w))
-        return _token(c, x, kind, plain)
 
-    return F.transform(_narrative(c), token)
+def narrative_form(kind: Column, word: Column) -> Column:
+    """The normal form of a word of that kind."""
+    return F.when(kind == "period", F.replace(F.upper(word), F.lit(" "), F.lit(""))).when(kind == "number", F.replace(word, F.lit(","), F.lit(""))).when(kind == "narrative", stem(F.lower(word))).otherwise(F.upper(word))
+
+
+def narrative_tokens(text) -> Column:
+    """Array of (text, kind, start, end, normalized): periods, numbers, currencies, identifiers (abbreviations) and narrative words, which are stemmed."""
+    kind = lambda x: narrative_kind(x["kind"], x["text"])
+    return F.transform(narrative_spans(text), lambda x: _token(x, kind(x), narrative_form(kind(x), x["text"])))
 
 
 def identifier_spans(text) -> Column:
     """Array of (text, kind, start, end, normalized) of security numbers, tickers, and what else stands between white space, all in capitals."""
-    c = as_column(text)
-    return F.transform(_securities(c), lambda x: _token(c, x, F.lit("identifier"), F.upper))
+    return F.transform(_securities(as_column(text)), lambda x: _token(x, F.lit("identifier"), F.upper(x["text"])))
 
 
 def schema_spans(text) -> Column:
