@@ -22,3 +22,41 @@ def test_tokens_are_not_cut_out_of_the_text_one_by_one(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plain = docs.select(F.explode(tokens.narrative_tokens("text")).alias("k")).groupBy("k.kind", "k.normalized").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, catalog.QUERIES["narrative_kinds"](spark, sf).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_lsh_makes_no_row_a_pair(spark):
+    """All vectors share their buckets here: the pairs of a join would be rows of a shuffle."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    from fathomline.operators import vector
+
+    rng = __import__("random").Random(3)
+    rows = [(i, [1 + rng.random() / 2 for _ in range(8)]) for i in range(400)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = e.where("vec_id % 20 = 0")
+    found = vector.lsh_nearest(e, asked, 5)
+    assert "hashes" not in plan_of(found)
+    unit = Normalizer(inputCol="v", outputCol="unit")
+    of = lambda df: unit.transform(df.select("vec_id", array_to_vector("embedding").alias("v")))
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=0.7, numHashTables=8, seed=7).fit(of(e))
+    pairs = model.approxSimilarityJoin(of(asked), of(e), 1.3, "d").where("datasetA.vec_id <> datasetB.vec_id")
+    want = {}
+    for q, v, d in pairs.select("datasetA.vec_id", "datasetB.vec_id", "d").collect():
+        want.setdefault(q, []).append((-round(1 - d * d / 2, 6), v))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()) == sorted((q, n, v) for q, x in want.items() for n, (_, v) in enumerate(sorted(x)[:5], 1))
+
+
+def test_nearest_reads_a_pair_of_blocks_at_a_time(spark, monkeypatch):
+    """However many blocks a batch holds; the best of many blocks are those of all rows."""
+    from fathomline.operators import vector
+
+    monkeypatch.setattr(vector, "BLOCK", 16)
+    monkeypatch.setattr(vector, "HELD_BYTES", 1)
+    rng = __import__("random").Random(5)
+    v = {i: [rng.random() for _ in range(4)] for i in range(200)}
+    e = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>").repartition(2)
+    found = vector.nearest(e, e.where("vec_id % 10 = 0"), 7, "dot")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = [(q, n, i) for q in range(0, 200, 10) for n, (_, i) in enumerate(sorted((-round(dot(v[q], v[i]), 6), i) for i in v if i != q)[:7], 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()) == want
