@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import settle
 from . import lexical
 
 BUCKETS = 64
@@ -149,6 +150,12 @@ def bm25(spark: SparkSession, path: str, terms: DataFrame, *, mode: str = "or",
     return lexical.bm25_of(live_postings(spark, path, terms).drop("positions"), totals(spark, path), terms, mode=mode, k1=k1, b=b)
 
 
+def bm25_top(spark: SparkSession, path: str, terms: DataFrame, k: int, *, mode: str = "or", k1: float = lexical.K1, b: float = lexical.B) -> DataFrame:
+    """As lexical.bm25_top(), from the index."""
+    hits = settle(live_postings(spark, path, terms).drop("positions"), "hits")
+    return lexical.top_of(hits, totals(spark, path), terms, k, mode=mode, k1=k1, b=b)
+
+
 def covers(spark: SparkSession, path: str, terms: DataFrame, *, weight: float = 0.1) -> DataFrame:
     """``query_id``, ``doc_id``, ``score``, ``n_covers``: documents with all terms of a query (query_id, term), by cover density.
 

@@ -99,7 +99,7 @@ def parsed_literals(t: Tables) -> DataFrame:
 @query(f"with en as (select * from documents where lang = 'en' and source = 'src1'), {_bm25_sql(docs='en')} select query_id, doc_id, score, {_RANK} as rank from scored qualify {_RANK} <= 10")
 def bm25_filtered_all(t: Tables) -> DataFrame:
     """Language and source as one conjunction, before the scoring."""
-    return lexical.best(lexical.bm25(lexical.matching(t.documents, lang="en", source="src1", doc_id=None), terms(t)), 10)
+    return lexical.bm25_top(lexical.matching(t.documents, lang="en", source="src1", doc_id=None), terms(t), 10)
 
 
 @query()

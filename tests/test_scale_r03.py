@@ -60,3 +60,40 @@ def test_nearest_reads_a_pair_of_blocks_at_a_time(spark, monkeypatch):
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
     want = [(q, n, i) for q in range(0, 200, 10) for n, (_, i) in enumerate(sorted((-round(dot(v[q], v[i]), 6), i) for i in v if i != q)[:7], 1)]
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()) == want
+
+
+def test_the_best_by_bm25_without_a_row_a_pair(spark, monkeypatch):
+    from fathomline.operators import lexical
+
+    monkeypatch.setattr(lexical, "DOCS", 7)
+    monkeypatch.setattr(lexical, "PAIRS", 6)
+    monkeypatch.setattr(lexical, "CELLS", 10)
+    rng = __import__("random").Random(2)
+    docs = spark.createDataFrame([(i, None if i == 5 else " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(9)))) for i in range(60)] + [(60, "w1 w2")] * 1, "doc_id long, text string").repartition(3)
+    terms = lexical.query_terms(spark.createDataFrame([(q, " ".join(f"w{rng.randrange(14)}" for _ in range(3))) for q in range(8)] + [(8, "nowhere w1")], "query_id long, text string"), "query_id", "text")
+    found = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    for mode in ("or", "and"):
+        top = lexical.bm25_top(docs, terms, 5, mode=mode)
+        assert found(top) == found(lexical.best(lexical.bm25(docs, terms, mode=mode), 5))
+    kinds = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1.7).otherwise(0.4).alias("factor"), F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("c"), (F.col("doc_id") % 2).cast("string"))).alias("company_id"))
+    named = spark.createDataFrame([(0, ["c1"]), (1, []), (2, ["c0", "c1"]), (3, ["none"])], "query_id long, company_ids array<string>")
+    plain = lexical.bm25(docs, terms).join(kinds, "doc_id").withColumn("score", F.round(F.col("score") * F.col("factor"), 6)).select("query_id", "doc_id", "score")
+    plain = lexical.best(lexical.of_companies(plain, named, kinds), 4)
+    assert found(lexical.bm25_top(docs, terms, 4, factors=kinds, owners=kinds, companies=named)) == found(plain)
+
+
+def test_only_shown_items_are_tokenised_for_the_overlap(spark):
+    from fathomline.operators import lexical
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "a")], "doc_id long, text string")
+    terms = spark.createDataFrame([(0, "a"), (0, "c")], "query_id long, term string")
+    rows = lexical.item_terms(docs, spark.createDataFrame([(1,), (2,), (2,)], "item long"), terms)
+    assert sorted(map(tuple, rows.select("item", "term").collect())) == [(1, "a"), (2, "c")]
+
+
+def test_headings_are_looked_for_where_their_first_word_stands(spark):
+    from fathomline.operators import chunking
+
+    assert [chunking._first_word(p) for p in ("Item\\s+2", "(?:Closing|Concluding)\\s+R", "Notes?\\s+to", "Part I|Item", "Q&A")] == ["item", None, None, None, None]
+    docs = spark.createDataFrame([(1, "x ITEM 2: Properties a"), (2, "no heading"), (3, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["section"], r["start"], r["end"]) for r in chunking.sections(docs, chunking.FILING_SECTIONS).collect()] == [(1, "Properties", 2, 22)]
