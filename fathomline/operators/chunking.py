@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.scratch import settle
 
 #: Words of a chunk, and of the overlap of two, from 512 and 64 tokens at 1.3 tokens a word.
 CHUNK_WORDS, OVERLAP_WORDS = int(512 / 1.3), int(64 / 1.3)
@@ -45,6 +48,22 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return rows.select("doc_id", "chunk_index", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("chunk"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.size(part).cast("long").alias("n_words"), F.array_join(part, " ").alias("text"))
 
 
+def _first_word(pattern: str) -> str | None:
+    """The plain letters that a match of a pattern begins with, in lower case: most texts don't hold them. None where there are alternatives."""
+    word = re.match(r"[A-Za-z]{3,}(?![?*{|A-Za-z])", pattern)
+    return word[0].lower() if word and not _alternatives(pattern) else None
+
+
+def _alternatives(pattern: str) -> bool:
+    """Whether a | stands outside of all brackets."""
+    depth = 0
+    for ch in re.sub(r"\\.|\[[^\]]*\]", "", pattern):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            return True
+    return False
+
+
 def sections(docs: DataFrame, patterns: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``section``, ``start``, ``end`` (characters from 0): from each match of a heading to the next one's of any.
 
@@ -53,8 +72,10 @@ def sections(docs: DataFrame, patterns: tuple[tuple[str, str], ...], id_col: str
     """
     c = F.col(text_col)
     sizes = lambda of: F.transform(of, F.length)
-    each = F.array(*[F.struct(F.lit(n).alias("section"), sizes(F.split(c, "(?is)" + p, -1)).alias("parts"), sizes(F.regexp_extract_all(c, F.lit("(?is)" + p), F.lit(0))).alias("matches")) for n, p in patterns])
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(c).cast("long").alias("size"), F.inline(each)).where(F.size("matches") > 0)
+    none = F.array().cast("array<int>")
+    may = lambda p, found: F.when(F.col("_low").contains(word), found).otherwise(none) if (word := _first_word(p)) else found
+    each = F.array(*[F.struct(F.lit(n).alias("section"), may(p, sizes(F.split(c, "(?is)" + p, -1))).alias("parts"), may(p, sizes(F.regexp_extract_all(c, F.lit("(?is)" + p), F.lit(0)))).alias("matches")) for n, p in patterns])
+    rows = docs.withColumn("_low", F.lower(c)).select(F.col(id_col).alias("doc_id"), F.length(c).cast("long").alias("size"), F.inline(each)).where(F.size("matches") > 0)
     rows = rows.select("doc_id", "size", "section", F.posexplode(F.arrays_zip("parts", "matches")).alias("i", "x")).where("x.matches is not null")
     before = Window.partitionBy("doc_id", "section").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.sum(F.col("x.parts") + F.col("x.matches")).over(before) - F.col("x.matches")
@@ -118,7 +139,7 @@ def structural_chunks(docs: DataFrame, patterns: tuple[tuple[str, str], ...] = F
     Text before the first section is left out, as is a section without a word.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = sections(rows, patterns)
+    parts = settle(sections(rows, patterns), "sections")  # for the texts with sections, and for those without
     cut = parts.join(rows, "doc_id").select("doc_id", "section", "start", F.expr("substring(text, start + 1, end - start)").alias("text"))
     whole = rows.join(parts.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("").alias("section"), F.lit(0).cast("long").alias("start"), "text")
     made = chunks(cut.unionByName(whole).withColumn("k", F.struct("doc_id", "start", "section")), "k", "text").select("doc_id.*", F.col("chunk_index").alias("i"), "n_words", "text")

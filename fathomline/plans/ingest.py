@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, finance, graph_build, vector
+from ..sources.scratch import settle
 
 
 @dataclass
@@ -30,7 +31,8 @@ def ingest(docs: DataFrame, run: str, *, id_col: str = "doc_id", text_col: str =
     ``embed`` makes a vector of a column of tokens; by default, hashed word counts.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), T.clean_text(F.coalesce(F.col(text_col), F.lit(""))).alias("text"), F.col(company_col).alias("source"))
-    issues = finance.issues(rows, "doc_id", finance.document_rules())
+    rows = settle(rows, "cleaned")  # all that follows reads the clean text, and several parts do
+    issues = settle(finance.issues(rows, "doc_id", finance.document_rules()), "issues")
     good = rows.join(issues.where("severity = 'error'").select("doc_id").distinct(), "doc_id", "left_anti")
     chunks = chunking.structural_chunks(good).join(good.select("doc_id", "source"), "doc_id")
     said = vector.conditioned(F.col("text"), F.col("source"), F.col("section"))
