@@ -60,7 +60,7 @@ def routed(resolved: DataFrame) -> DataFrame:
 
 def link_schema(terms: DataFrame, mappings: DataFrame, abbreviations: DataFrame | None = None, *, least: float = 0.4) -> DataFrame:
     """Each distinct ``term`` with a concept: by abbreviation, then exactly, then by trigrams at ``least``."""
-    rest = terms.select(F.trim("term").alias("term")).where("term <> ''").distinct()
+    rest = settle(terms.select(F.trim("term").alias("term")).where("term <> ''").distinct(), "terms").hint("merge")
     out = None
     if abbreviations is not None:
         hit = rest.join(abbreviations.where("metric_id <> ''").withColumn("up", F.upper(F.trim("abbreviation"))), F.upper("term") == F.col("up"))
@@ -79,7 +79,7 @@ def synonyms(words: DataFrame, entries: DataFrame) -> DataFrame:
     """``word``, ``synonym``: the other surface forms of what a word's form stands for."""
     own = entries.select(F.lower("surface_form").alias("low"), "canonical_id")
     other = entries.select("canonical_id", F.col("surface_form").alias("synonym"))
-    met = words.select("word").distinct().join(own, F.lower("word") == F.col("low")).join(other, "canonical_id")
+    met = settle(words.select("word").distinct(), "words").hint("merge").join(own, F.lower("word") == F.col("low")).join(other, "canonical_id")
     return met.where(F.lower("synonym") != F.lower("word")).select("word", "synonym").distinct()
 
 
@@ -121,7 +121,8 @@ def entries_of_abbreviations(abbreviations: DataFrame, version: str = "v1") -> D
 
 def expand_abbreviations(tokens: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """``token``, ``expansion``, ``metric_id``: the first of the list on ties."""
-    hit = tokens.select("token").distinct().join(abbreviations.withColumn("up", F.upper(F.trim("abbreviation"))), F.upper(F.trim("token")) == F.col("up"))
+    asked = settle(tokens.select("token").distinct(), "tokens").hint("merge")  # distinct words; the texts they come from may be estimated as small
+    hit = asked.join(abbreviations.withColumn("up", F.upper(F.trim("abbreviation"))), F.upper(F.trim("token")) == F.col("up"))
     return first_wins(hit, ["token"], [F.asc("seq")]).select("token", "expansion", "metric_id")
 
 

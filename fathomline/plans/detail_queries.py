@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import tokens
 from ..operators import chunking, dual, fusion, graph, graph_build, lexical, lexicon, vector, versioning
 from ..sources import readers
+from ..sources.scratch import lookup
 from . import expansion, retrieval
 from .catalog import Tables, query
 from .graph_queries import edges
@@ -133,7 +134,7 @@ def seed_expansions(t: Tables) -> DataFrame:
     """What the library's own lexicon says of the abbreviations in all questions; each distinct word is asked once."""
     rows = questions(t).select("question_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0)))).alias("token"))
     known = lexicon.expand_abbreviations(rows.select("token"), readers.seed_lexicon(t.spark)["abbreviations"])
-    return rows.join(known, "token").select("question_id", "token", "expansion", "metric_id")
+    return rows.join(lookup(known, "known"), "token").select("question_id", "token", "expansion", "metric_id")
 
 
 def company_questions(t: Tables) -> DataFrame:

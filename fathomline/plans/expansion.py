@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.tokens import narrative_tokens
 from ..operators import lexicon
 from ..operators.ranking import first_wins
-from ..sources.scratch import settle
+from ..sources.scratch import lookup, settle
 
 
 def _listed(rows: DataFrame, name: str, value: Column, order: list[str]) -> DataFrame:
@@ -31,26 +31,26 @@ def expanded(questions: DataFrame, entries: DataFrame, tickers: DataFrame, abbre
     named, words = rows.where("kind = 'identifier'"), rows.where("kind = 'narrative'")
 
     resolved = lexicon.routed(lexicon.resolve(named.select(F.col("text").alias("mention")), entries, tickers)).where("role = 'company'")
-    companies = _listed(named.join(resolved, F.trim("text") == F.col("mention")), "company_ids", F.col("canonical_id"), ["i"])
+    companies = _listed(named.join(lookup(resolved, "companies"), F.trim("text") == F.col("mention")), "company_ids", F.col("canonical_id"), ["i"])
     periods = _listed(rows.where("kind = 'period'"), "periods", F.col("normalized"), ["i"])
 
-    short = lexicon.expand_abbreviations(named.select(F.col("text").alias("token")), abbreviations)
+    short = lookup(lexicon.expand_abbreviations(named.select(F.col("text").alias("token")), abbreviations), "short")
     base = rows.where("kind in ('identifier', 'narrative')").select("query_id", F.lit(0).alias("step"), "i", F.lit(0).alias("j"), F.col("text").alias("term"))
     base = base.unionByName(named.join(short, F.col("text") == F.col("token")).select("query_id", F.lit(0).alias("step"), "i", F.lit(1).alias("j"), F.col("expansion").alias("term")))
 
     parts = questions.select("query_id", T.words(F.lower("text")).alias("w"))
     phrases = [parts.select("query_id", F.lit(n).alias("n"), F.posexplode(T.ngrams("w", n)).alias("i", "term")) for n in (2, 3)]
     candidates = words.select("query_id", F.lit(1).alias("n"), "i", F.col("text").alias("term")).unionByName(phrases[0]).unionByName(phrases[1])
-    links = settle(lexicon.link_schema(candidates.select("term"), mappings, abbreviations).select(F.col("term").alias("linked"), "label"), "links")
+    links = lookup(lexicon.link_schema(candidates.select("term"), mappings, abbreviations).select(F.col("term").alias("linked"), "label"), "links")
     labels = candidates.join(links, F.trim("term") == F.col("linked")).select("query_id", F.lit(1).alias("step"), (F.col("n") * 1_000_000 + F.col("i")).alias("i"), F.lit(0).alias("j"), F.col("label").alias("term"))
 
-    forms = lexicon.synonyms(words.select(F.col("text").alias("word")), entries)
+    forms = lookup(lexicon.synonyms(words.select(F.col("text").alias("word")), entries), "forms")
     more = words.join(forms, F.col("text") == F.col("word")).select("query_id", F.lit(2).alias("step"), "i", F.lit(0).alias("j"), F.col("synonym").alias("term"))
 
     added = first_wins(labels.unionByName(more), ["query_id", "term"], [F.asc("step"), F.asc("i")])
-    added = added.join(base.select("query_id", "term").distinct(), ["query_id", "term"], "left_anti")
+    added = added.join(base.select("query_id", "term").distinct().hint("merge"), ["query_id", "term"], "left_anti")  # a row a word of all questions: never a broadcast
     terms = base.unionByName(added.select(*base.columns)).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("step", "i", "j", "term"))).alias("x"))
     terms = terms.select("query_id", F.array_join(F.transform("x", lambda x: x["term"]), " ").alias("expanded"))
     none = F.array().cast("array<string>")
-    out = questions.select("query_id").join(terms, "query_id", "left").join(companies, "query_id", "left").join(periods, "query_id", "left")
+    out = questions.select("query_id").join(terms.hint("merge"), "query_id", "left").join(companies.hint("merge"), "query_id", "left").join(periods.hint("merge"), "query_id", "left")
     return out.select("query_id", F.coalesce("expanded", F.lit("")).alias("expanded"), F.coalesce(F.col("company_ids").cast("array<string>"), none).alias("company_ids"), F.coalesce("periods", none).alias("periods"))

@@ -97,3 +97,16 @@ def test_headings_are_looked_for_where_their_first_word_stands(spark):
     assert [chunking._first_word(p) for p in ("Item\\s+2", "(?:Closing|Concluding)\\s+R", "Notes?\\s+to", "Part I|Item", "Q&A")] == ["item", None, None, None, None]
     docs = spark.createDataFrame([(1, "x ITEM 2: Properties a"), (2, "no heading"), (3, None)], "doc_id long, text string")
     assert [(r["doc_id"], r["section"], r["start"], r["end"]) for r in chunking.sections(docs, chunking.FILING_SECTIONS).collect()] == [(1, "Properties", 2, 22)]
+
+
+def test_rows_a_word_of_all_questions_are_not_broadcast(spark, sf):
+    """Spark estimates exploded words by the bytes of their file, and sent them to the driver as the smaller side."""
+    plan = catalog_plan(spark, sf, "seed_expansions")
+    assert "BuildLeft" not in plan and "BuildRight" in plan
+    plan = catalog_plan(spark, sf, "expand_full")
+    assert "LeftAnti, BuildRight" not in plan and "LeftOuter, BuildRight" not in plan and "BuildLeft" not in plan
+
+
+def catalog_plan(spark, sf, name):
+    catalog.load()
+    return catalog.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
