@@ -482,3 +482,39 @@ def test_places_of_a_seed_beyond_the_bound_are_matched_by_number(spark):
     ids = docs.select(docs["doc_id"].alias("id"))
     rows = docs.selectExpr("doc_id as id", "0 as copy", "text")
     assert substring_dedup._matches(rows, ids, substring_dedup.RULES).count() < 2000
+
+
+def test_exact_passage_whose_seeds_have_many_other_holders(spark):
+    """50 words that two documents share, while all windows of 40 of their words stand in lesser documents and in those between."""
+    rnd = random.Random(61)
+    p = words(rnd, 50, "p")
+    rows = [(100, " ".join([*words(rnd, 40), *p, *words(rnd, 30)])), (200, " ".join([*words(rnd, 20), *p, *words(rnd, 50)]))]
+    rows += [(i + k, " ".join([*words(rnd, 60), *p[k : k + 40], *words(rnd, 60)])) for k in range(11) for i in (1, 101)]
+    assert spans_of(spark, rows) == {200: [" ".join(p)]}
+
+
+def test_exact_passages_among_repeated_words_and_lines(spark):
+    """Every word of a window of 50 words that a lesser document holds is covered, whatever else repeats: runs of one word, lines, few words."""
+    rnd = random.Random(59)
+    lines = [words(rnd, 12, f"l{k}_") for k in range(4)]
+    rows = [(0, " ".join([*words(rnd, 30), *["a"] * 50, *words(rnd, 30)])), (1, " ".join([*words(rnd, 9), *["a"] * 400, *words(rnd, 9)]))]
+    for i in range(2, 40):
+        parts = []
+        for _ in range(12):
+            parts += rnd.choice(lines)[: rnd.choice([12, 12, 12, 7])] * rnd.choice([1, 1, 5])
+        rows.append((i, " ".join([*words(rnd, 5), *parts, *["a"] * rnd.randrange(40), *parts[:33], *words(rnd, 5)])))
+    spans, seen = {}, set()
+    for r in substring_dedup.shared_passages(docs(spark, rows)).collect():
+        spans.setdefault(r["id"], []).append((r["start"], r["end"]))
+    for i, t in rows:
+        at, w = [m.span() for m in re.finditer(r"\S+", t)], t.split()
+        mine = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        want = {j for k, window in enumerate(mine) if window in seen for j in range(k, k + 50)}
+        assert all(any(a <= at[j][0] and at[j][1] <= b for a, b in spans.get(i, [])) for j in want), i
+        seen |= set(mine)
+
+
+def test_covering_matches():
+    x = np.array([0, 1, 2, 3, 4, 60, 61, 5, 6, 7], np.int32)
+    y = np.array([9, 10, 3, 3, 3, 40, 41, 8, 9, 10], np.int32)
+    assert substring_dedup.covering(x, y, np.array([0, 7, 10]), 50).tolist() == [0, 4, 5, 7]
