@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fathomline.llm import embedding_dedup, simhash, substring_dedup
+from fathomline.llm import embedding_dedup, near_copies, simhash, substring_dedup
 from fathomline.operators.graph import connected_components
 
 SCHEMA = "doc_id long, text string, source string, fingerprint string, id long"
@@ -518,3 +518,19 @@ def test_covering_matches():
     x = np.array([0, 1, 2, 3, 4, 60, 61, 5, 6, 7], np.int32)
     y = np.array([9, 10, 3, 3, 3, 40, 41, 8, 9, 10], np.int32)
     assert substring_dedup.covering(x, y, np.array([0, 7, 10]), 50).tolist() == [0, 4, 5, 7]
+
+
+def test_near_copies_that_the_ends_of_a_bucket_leave_apart(spark, monkeypatch):
+    """All texts in one bucket, of which the least and the greatest are unlike the rest: the groups are those of all pairs."""
+    monkeypatch.setattr(near_copies, "bands", lambda hashes: [1])
+    rnd = random.Random(67)
+    one, two = words(rnd, 100, "p"), words(rnd, 100, "q")
+    rows = [(0, " ".join(words(rnd, 100, "a"))), (99, " ".join(words(rnd, 100, "z")))]
+    for k in range(1, 7):  # a chain: each is like the next alone
+        rows.append((k, " ".join([*words(rnd, 7 * k, f"n{k}_"), *one[7 * k :]])))
+    rows += [(20 + k, " ".join([*two[:99], f"t{k}"])) for k in range(3)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert near
+    pairs = [(r["id"], r["other"]) for r in near_copies.near_pairs(docs(spark, rows)).collect()]
+    assert {tuple(sorted(p)) for p in pairs} <= set(near) and joined(pairs, list(sets)) == joined(near, list(sets))
