@@ -534,3 +534,16 @@ def test_near_copies_that_the_ends_of_a_bucket_leave_apart(spark, monkeypatch):
     assert near
     pairs = [(r["id"], r["other"]) for r in near_copies.near_pairs(docs(spark, rows)).collect()]
     assert {tuple(sorted(p)) for p in pairs} <= set(near) and joined(pairs, list(sets)) == joined(near, list(sets))
+
+
+def test_runs_of_one_word_give_few_rows_and_all_words(spark):
+    """Of 900 equal words and a lesser document's 60: a row for some shifts covers all of them, not one for each."""
+    rnd = random.Random(71)
+    rows = [(k, " ".join([*words(rnd, 30, f"u{k}_"), *["a"] * n, *words(rnd, 30, f"v{k}_")])) for k, n in enumerate((60, 900))]
+    rows += [(k, " ".join([*words(rnd, 30, f"u{k}_"), *["b", "c", "d"] * n, *words(rnd, 30, f"v{k}_")])) for k, n in ((2, 25), (3, 200))]
+    found = substring_dedup.shared_passages(docs(spark, rows)).collect()
+    assert {(r["id"], r["other"]) for r in found} == {(1, 0), (3, 2)}
+    for i in (1, 3):
+        run = [m.span() for m in re.finditer(r"\S+", rows[i][1])][30:-30]
+        mine = [(r["start"], r["end"]) for r in found if r["id"] == i]
+        assert all(any(s <= a and b <= e for s, e in mine) for a, b in run) and len(mine) <= 80, len(mine)
