@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.scratch import settle
+from ..sources.scratch import lookup, settle
 from . import lexical
 
 BUCKETS = 64
@@ -64,12 +64,18 @@ def _bucket(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def add_segment(docs: DataFrame, path: str, *, removed: DataFrame | None = None, analyzer: Callable[[Column], Column] = plain, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> int:
+#: Analyzers that give a word or a null for each token: a document's length comes from its tokens alone.
+_LENGTHS = {english: plain}
+
+
+def add_segment(docs: DataFrame, path: str, *, terms: DataFrame | None = None, removed: DataFrame | None = None, analyzer: Callable[[Column], Column] = plain, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> int:
     """Write ``docs`` as a further segment and return its number.
 
     Ids are unique within ``docs``; those that the index has already are replaced, and those of
     ``removed`` (doc_id) leave it. Texts are tokenised once; a frequent term's bucket is split over several
     tasks and files. A null text has no terms and counts as a document, but not for the mean length.
+    With ``terms`` (term) the segment holds these terms' postings alone, of all documents: others' are
+    dropped before they are grouped and shuffled. Documents and lengths are whole.
     """
     spark, have = docs.sparkSession, _segments(docs.sparkSession, path)
     every = _table(spark, path, "counts")
@@ -77,10 +83,13 @@ def add_segment(docs: DataFrame, path: str, *, removed: DataFrame | None = None,
     buckets = have[0]["buckets"] if have else buckets
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), analyzer(F.col(text_col)).alias("words")).withColumn("doc_len", F.size("words").cast("long"))
     rows = words.select("doc_id", "doc_len", F.posexplode("words").alias("at", "term")).where("term is not null")
+    if terms is not None:
+        rows = rows.join(lookup(terms.select("term").distinct(), "asked-terms"), "term", "left_semi")
     rows = rows.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("at")).alias("positions"), F.first("doc_len").alias("doc_len"))
     rows = rows.select("term", "doc_id", "doc_len", F.size("positions").cast("long").alias("tf"), "positions", _bucket("term", buckets).alias("bucket"))
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings/segment={number}")
-    words.select("doc_id", "doc_len").write.mode("overwrite").parquet(f"{path}/documents/segment={number}")
+    lengths = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(_LENGTHS.get(analyzer, analyzer)(F.col(text_col))).cast("long").alias("doc_len"))
+    lengths.write.mode("overwrite").parquet(f"{path}/documents/segment={number}")
     new = spark.read.schema("doc_id long, doc_len long").parquet(f"{path}/documents/segment={number}")
     n, texts, length = _sums(new)
     if have:

@@ -114,6 +114,19 @@ def test_covers(spark, rows, asked, tmp_path):
         assert got[k][1] == n and got[k][0] == pytest.approx(score, abs=1.1e-6)
 
 
+def test_segment_of_the_asked_terms(spark, rows, asked, tmp_path):
+    """Its covers and lengths are those of the whole index; other terms have no postings."""
+    whole, part = str(tmp_path / "w"), str(tmp_path / "p")
+    table = spark.createDataFrame([*rows, (5000, None), (5001, "")], DOCS)
+    text_index.add_segment(table, whole, analyzer=text_index.english)
+    text_index.add_segment(table, part, terms=asked, analyzer=text_index.english)
+    of = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert of(text_index.covers(spark, part, asked)) == of(text_index.covers(spark, whole, asked))
+    assert of(text_index.totals(spark, part)) == of(text_index.totals(spark, whole)) and of(text_index.live_documents(spark, part)) == of(text_index.live_documents(spark, whole))
+    held = {r["term"] for r in text_index.live_postings(spark, part).select("term").distinct().collect()}
+    assert held and held <= {r["term"] for r in asked.collect()}
+
+
 def test_stems_and_stop_words(spark):
     row = spark.createDataFrame([("The Companies were growing, and the growth",)], "t string").select(text_index.english(F.col("t"))).first()[0]
     assert row == [None, "company", None, "grow", None, None, "growth"]
