@@ -547,3 +547,16 @@ def test_runs_of_one_word_give_few_rows_and_all_words(spark):
         run = [m.span() for m in re.finditer(r"\S+", rows[i][1])][30:-30]
         mine = [(r["start"], r["end"]) for r in found if r["id"] == i]
         assert all(any(s <= a and b <= e for s, e in mine) for a, b in run) and len(mine) <= 80, len(mine)
+
+
+def test_chains_of_a_pair_read_its_pieces_once(spark, monkeypatch):
+    """90 chains of two texts of 8 pieces are aligned in 16 pieces, not in some for each chain; each in its own pieces, as far as those agree."""
+    text = " ".join(words(random.Random(73), 1000))
+    texts = spark.createDataFrame([(i, 0, text) for i in (1, 2)], "id long, copy int, text string")
+    chains = spark.createDataFrame([(2, 0, 1, 0, [10 * k], [10 * k]) for k in range(90)], "id long, copy int, other long, other_copy int, xs array<int>, ys array<int>")
+    read, plain = [], type(chains).mapInArrow
+    monkeypatch.setattr(type(chains), "mapInArrow", lambda df, *how: (read.append(df), plain(df, *how))[1])
+    rows = substring_dedup._aligned(chains, texts, 128, substring_dedup.RULES).where("start is not null").collect()
+    assert read[-1].agg(F.sum(F.size("parts"))).first()[0] == 16
+    own = [(max(x - 128, 0) // 128, min(8, (x + 131) // 128 + 1)) for x in range(0, 900, 10)]
+    assert sorted(r["n_words"] for r in rows) == sorted(min(1000, 128 * hi) - 128 * lo for lo, hi in own)
