@@ -560,3 +560,14 @@ def test_chains_of_a_pair_read_its_pieces_once(spark, monkeypatch):
     assert read[-1].agg(F.sum(F.size("parts"))).first()[0] == 16
     own = [(max(x - 128, 0) // 128, min(8, (x + 131) // 128 + 1)) for x in range(0, 900, 10)]
     assert sorted(r["n_words"] for r in rows) == sorted(min(1000, 128 * hi) - 128 * lo for lo, hi in own)
+
+
+def test_few_stretches_are_chained_as_many_are():
+    rnd = np.random.default_rng(79)
+    for _ in range(1000):
+        n = int(rnd.integers(2, 17))
+        x, y, length = np.sort(rnd.integers(0, 60, n)), rnd.integers(0, 60, n), rnd.integers(1, 4, n)
+        first = np.cumsum(np.append(0, length[:-1]))
+        x, y = (np.concatenate([np.arange(a, a + m) for a, m in zip(c, length, strict=True)]) for c in (x, y))
+        how = first, first + length - 1, x, y, substring_dedup.RULES
+        assert substring_dedup._joined(*how) == substring_dedup._joined(*how, few=0)
